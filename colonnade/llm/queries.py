@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, packing, tokenio
+from . import decontam, outliers, packing, rules, tokenio, urls
 from .common import ready
 
 
@@ -22,6 +22,22 @@ def tokenizer_path() -> str:
     return os.environ.get("COLONNADE_TOKENIZER") or public_tokenizers.path("byte_bpe_50k.json")
 
 
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge(table(spark, sf_dir, "documents"))
+
+
+def op5_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rules.score(docs, rules.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_token_io(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenio.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), 2)
 
@@ -35,9 +51,12 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_robust_outliers": op2_robust_outliers,
     "op4_token_io": op4_token_io,
+    "op5_url_vocabulary": op5_url_vocabulary,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_rule_ensemble": op8_rule_ensemble,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_url_vocabulary": urls.oracle(URL_RULES)}
