@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, outliers, packing, rules, tokenio, urls
+from . import decontam, minhash, outliers, packing, rules, tokenio, urls
 from .common import ready
 
 
@@ -25,6 +25,10 @@ def tokenizer_path() -> str:
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_robust_outliers": op2_robust_outliers,
     "op4_token_io": op4_token_io,
     "op5_url_vocabulary": op5_url_vocabulary,
@@ -59,4 +64,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLES: dict[str, str] = {"op5_url_vocabulary": urls.oracle(URL_RULES)}
+#: Exact similarity of all pairs that share a shingle, and the closure of the links.
+OP1_SQL = """
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws
+  from documents),
+s as (
+  select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+    else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) end as sh from w),
+n as (select doc_id, len(sh)::bigint as n_shingles from s),
+g as (select doc_id, hash(unnest(sh)) as h from s),
+p as (
+  select a.doc_id as x, b.doc_id as y, count(*) as common from g a join g b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+l as (
+  select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y
+  where 100 * common >= 85 * (a.n_shingles + b.n_shingles - common)),
+e as (select x, y from l union all select y, x from l),
+reach(doc_id, other) as (
+  select doc_id, doc_id from n union select r.doc_id, e.y from reach r join e on e.x = r.other)
+select n.doc_id, n_shingles, min(other) as component_id, n.doc_id = min(other) as kept
+from n join reach r on r.doc_id = n.doc_id group by 1, 2"""
+
+ORACLES: dict[str, str] = {
+    "op1_minhash_near_dedup": OP1_SQL,
+    "op5_url_vocabulary": urls.oracle(URL_RULES),
+}
