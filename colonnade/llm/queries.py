@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, minhash, outliers, packing, rules, tokenio, urls
+from . import decontam, licenses, minhash, outliers, packing, pii, rules, tokenio, urls
 from .common import ready
 
 
@@ -46,6 +46,20 @@ def op4_token_io(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenio.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), 2)
 
 
+def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("sentence_ids", "licenses")})
+
+
+def pii_key() -> str:
+    """The key of the pseudonyms: a secret of whoever runs it; the default is for tests alone."""
+    return os.environ.get("COLONNADE_PII_KEY", "not a secret")
+
+
+def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key())
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), 0, 2048)
 
@@ -59,8 +73,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_robust_outliers": op2_robust_outliers,
     "op4_token_io": op4_token_io,
     "op5_url_vocabulary": op5_url_vocabulary,
+    "op6_license_rules": op6_license_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_rule_ensemble": op8_rule_ensemble,
+    "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
@@ -88,4 +104,5 @@ from n join reach r on r.doc_id = n.doc_id group by 1, 2"""
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
     "op5_url_vocabulary": urls.oracle(URL_RULES),
+    "op6_license_rules": licenses.oracle(),
 }
