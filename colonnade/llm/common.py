@@ -9,6 +9,7 @@ import uuid
 import weakref
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _TABLES: list[tuple[weakref.ref, str]] = []
@@ -64,3 +65,10 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in have:
         name = "_" + name
     return name
+
+
+def map_rows(df: DataFrame, run, extra: list[StructField] = []) -> DataFrame:
+    """mapInArrow over all columns, whatever their names are (dots and clashes too), and extra ones behind."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    schema = StructType([*plain.schema.fields, *extra])
+    return plain.mapInArrow(run, schema).toDF(*df.columns, *(f.name for f in extra))

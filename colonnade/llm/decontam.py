@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ready
+from .common import map_rows, ready
 from .text import as_bytes
 
 #: A-Z to a-z; other ASCII but letters and digits separates words; beyond ASCII all are letters.
@@ -228,5 +228,5 @@ def remove(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str =
                     hits = window_hits([words(t) for t in as_bytes(part.column(at))], shared.value)
                     yield part.filter(pa.array([i not in hits for i in range(part.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_rows(docs, run)
     return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, licenses, minhash, outliers, packing, pii, rules, tokenio, urls
+from . import decontam, licenses, minhash, outliers, packing, pii, rules, templates, tokenio, urls
 from .common import ready
 
 
@@ -42,6 +42,10 @@ def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.score(docs, rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_token_io(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenio.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), 2)
 
@@ -71,6 +75,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_robust_outliers": op2_robust_outliers,
+    "op3_site_templates": op3_site_templates,
     "op4_token_io": op4_token_io,
     "op5_url_vocabulary": op5_url_vocabulary,
     "op6_license_rules": op6_license_rules,

@@ -20,23 +20,28 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField
 
-from .stats import text_stats
+from .common import free_name, map_rows, ready
+from .stats import COUNTS, counts
+from .text import as_bytes
 
+#: Of the arrays of COUNTS, by name.
 FEATURES = {
-    "log_words": "ln(n_words + 1)",
-    "word_length": "word_chars / (n_words + 1.0)",
-    "symbol_share": "n_symbols / (n_words + 1.0)",
-    "pipe_share": "n_pipes / (n_words + 1.0)",
-    "repeat_share": "n_repeat_words / (n_words + 1.0)",
-    "distinct_share": "n_distinct_words / (n_words + 1.0) * ln(n_words + 2)",
-    "dup_line_share": "n_dup_lines / (n_lines + 1.0)",
-    "upper_share": "n_upper / (n_upper + n_lower + 1.0)",
-    "exclaim_share": "n_exclaims / (n_words + 1.0)",
-    "digit_share": "n_digits / (n_words + 1.0)",
-    "mark_share": "n_marks / (n_words + 1.0)",
-    "line_words": "ln(n_words / (n_lines + 1.0) + 1)",
+    "log_words": lambda c: np.log(c["n_words"] + 1),
+    "word_length": lambda c: c["word_chars"] / (c["n_words"] + 1),
+    "symbol_share": lambda c: c["n_symbols"] / (c["n_words"] + 1),
+    "pipe_share": lambda c: c["n_pipes"] / (c["n_words"] + 1),
+    "repeat_share": lambda c: c["n_repeat_words"] / (c["n_words"] + 1),
+    "distinct_share": lambda c: c["n_distinct_words"] / (c["n_words"] + 1) * np.log(c["n_words"] + 2),
+    "dup_line_share": lambda c: c["n_dup_lines"] / (c["n_lines"] + 1),
+    "upper_share": lambda c: c["n_upper"] / (c["n_upper"] + c["n_lower"] + 1),
+    "exclaim_share": lambda c: c["n_exclaims"] / (c["n_words"] + 1),
+    "digit_share": lambda c: c["n_digits"] / (c["n_words"] + 1),
+    "mark_share": lambda c: c["n_marks"] / (c["n_words"] + 1),
+    "line_words": lambda c: np.log(c["n_words"] / (c["n_lines"] + 1) + 1),
 }
 NAMES = list(FEATURES)
 
@@ -48,8 +53,8 @@ class RuleEnsemble:
     intercept: float
     rules: list[tuple[float, tuple[Test, ...]]]
 
-    def sql(self) -> str:
-        """The score over columns named as FEATURES."""
+    def sql(self, names: dict[str, str] | None = None) -> str:
+        """The score over columns named as FEATURES, or as names has them."""
         terms = [repr(self.intercept)]
         for weight, tests in self.rules:
             terms.append(f"IF({' AND '.join(f'`{NAMES[f]}` {">" if above else "<="} {at!r}D' for f, above, at in tests)}, {weight!r}D, 0D)")
@@ -101,7 +106,7 @@ def _grow(x: np.ndarray, y: np.ndarray, features: np.ndarray, depth: int, path:
     _grow(x[~low], y[~low], features, depth - 1, (*path, (f, True, at)), out)
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty: float = 5e-4, steps: int = 300, seed: int = 7) -> RuleEnsemble:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty: float = 2e-3, steps: int = 300, seed: int = 7) -> RuleEnsemble:
     """Rules and lasso weights of labels y (0 or 1) by rows of FEATURES."""
     y = y.astype(float)
     share = float(y.mean()) if len(y) else 0.5
@@ -146,8 +151,19 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty:
     return RuleEnsemble(b - float((weights * mean).sum()), [(float(weights[k]), rules[k]) for k in np.flatnonzero(w)])
 
 
-def features(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    return text_stats(docs, keep, text_col).select(*keep, *(F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()))
+def add_features(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
+    """All columns and the FEATURES of the texts behind them, under names that docs doesn't have."""
+    ready(docs.sparkSession)
+    names = {n: free_name(docs, n) for n in NAMES}
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            found = np.array([counts(t) for t in as_bytes(batch.column(at))], float).reshape(batch.num_rows, len(COUNTS))
+            columns = dict(zip(COUNTS, found.T))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(f(columns), pa.float64()) for f in FEATURES.values())], names=[*batch.schema.names, *names.values()])
+
+    return map_rows(docs, run, [StructField(n, DoubleType()) for n in names.values()]), names
 
 
 def held_out(key: Column) -> Column:
@@ -159,34 +175,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, id_col: str =
     told = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("label_id").isNotNull() & ~held_out(F.col("label_id")))
     told = told.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(sample)
     rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(told), "label_id")
-    got = features(rows, ["label"]).toPandas()
+    got = add_features(rows.select("label", "text"))[0].drop("text").toPandas()
     got = got.sort_values([*NAMES, "label"])  # whatever order the tasks came in
     return fit(got[NAMES].to_numpy(float), got["label"].to_numpy(int))
 
 
 def score(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    told = features(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"])
-    told = told.withColumn("score", F.expr(model.sql()))
+    told, _ = add_features(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    told = told.select("doc_id", F.expr(model.sql()).alias("score"))
     return told.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The documents that score at least the threshold, with all their columns; nothing is shuffled."""
-    from .common import free_name
-    from .stats import add_stats
-
-    told, names = add_stats(docs, text_col)
-    sql = model.sql()
-    marks = {n: free_name(told, f"f_{n}") for n in NAMES}
-    expressions = {n: _with_names(e, names) for n, e in FEATURES.items()}
-    told = told.withColumns({marks[n]: F.expr(e).cast("double") for n, e in expressions.items()})
-    for n, m in marks.items():
-        sql = sql.replace(f"`{n}`", f"`{m}`")
-    return told.where(F.expr(sql) >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
-
-
-def _with_names(expression: str, names: dict[str, str]) -> str:
-    import re
-
-    return re.sub(r"\bn_\w+|\bword_chars\b", lambda m: f"`{names[m[0]]}`", expression)
+    told, names = add_features(docs, text_col)
+    return told.where(F.expr(model.sql(names)) >= threshold).select(*(told[f"`{c}`"] for c in docs.columns))

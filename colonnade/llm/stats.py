@@ -61,23 +61,3 @@ def text_stats(docs: DataFrame, keep: list[str], text_col: str = "text") -> Data
 
     kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
     return rows.mapInArrow(run, ", ".join([*kinds, *(f"{c} long" for c in COUNTS)]))
-
-
-def add_stats(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
-    """All columns and the COUNTS behind them, under names that docs doesn't have."""
-    from .common import free_name
-
-    ready(docs.sparkSession)
-    names = {c: free_name(docs, f"stat_{c}") for c in COUNTS}
-    at = docs.columns.index(text_col)
-
-    def run(batches):
-        for batch in batches:
-            found = [counts(t) for t in as_bytes(batch.column(at))]
-            columns = zip(*found) if found else [[] for _ in COUNTS]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], names=[*batch.schema.names, *names.values()])
-
-    schema = docs.schema
-    for name in names.values():
-        schema = schema.add(name, "long")
-    return docs.mapInArrow(run, schema), names
