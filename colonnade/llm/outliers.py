@@ -187,7 +187,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sized = vectors.groupBy("g").agg(F.count(F.lit(1)).alias("n_group")).where(F.col("n_group") >= least)
     x = [F.col(f"x{i}") for i in range(P)]
     params = fit(vectors.join(sized, "g", "left_semi").select("g", *x), steps)
-    told = vectors.join(params, "g", "left").withColumn("distance", F.sqrt(_distance(x)))
+    told = vectors.join(params, "g", "left").withColumn("distance", F.when(F.col("mean").isNotNull(), F.sqrt(_distance(x))))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     limit = math.sqrt(chi2_quantile(quantile, P))
     kept = F.coalesce(F.col("distance") <= limit, F.lit(True)).alias("kept")

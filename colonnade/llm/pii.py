@@ -34,10 +34,10 @@ PATTERNS = {
     "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,63})@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})\.){1,8}[A-Za-z]{2,24}",
     "secret": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<=(?:token|secret|api_key|apikey) = \")[0-9A-Za-z]{16,128}(?=\")|(?<=(?:password|passwd|token|secret|api_key|apikey)=)[0-9A-Za-z]{8,128}",
     "iban": r"[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}(?![0-9A-Za-z])",
-    "ip": r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
+    "ip": r"(?<![0-9]\.)(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9])|[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "ssn": r"(?<![0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])",
 }
 _ANY = "(?<![0-9A-Za-z])(?:" + "|".join(PATTERNS.values()) + ")"
@@ -160,7 +160,7 @@ def _pseudonym(value: str, key: str) -> str:
 #: What a finding is, told from itself alone; what fits none is a credential.
 _SHAPES = {
     "email": ".*@.*",
-    "ip": PATTERNS["ip"],
+    "ip": "(?:[0-9]{1,3}[.]){3}[0-9]{1,3}",
     "date": "[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[.][0-9]{2}[.][0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}",
     "ssn": "[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "card": "[0-9](?:[ -]?[0-9]){12,18}",

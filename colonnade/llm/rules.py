@@ -57,7 +57,7 @@ class RuleEnsemble:
         """The score over columns named as FEATURES, or as names has them."""
         terms = [repr(self.intercept)]
         for weight, tests in self.rules:
-            terms.append(f"IF({' AND '.join(f'`{NAMES[f]}` {">" if above else "<="} {at!r}D' for f, above, at in tests)}, {weight!r}D, 0D)")
+            terms.append(f"IF({' AND '.join(f'`{(names or {}).get(NAMES[f], NAMES[f])}` {">" if above else "<="} {at!r}D' for f, above, at in tests)}, {weight!r}D, 0D)")
         return f"1D / (1D + exp(-({'D + '.join(terms[:1])}D + {' + '.join(terms[1:]) or '0D'})))"
 
     def score(self, x: np.ndarray) -> np.ndarray:
