@@ -36,9 +36,9 @@ PATTERNS = {
     "iban": r"[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}(?![0-9A-Za-z])",
     "ip": r"(?<![0-9]\.)(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9])|[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])",
-    "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "card": r"[0-9]{13,19}(?![0-9])|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,7}(?![0-9])|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,7}(?![0-9])|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])",
     "ssn": r"(?<![0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])",
+    "phone": r"\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])",
 }
 _ANY = "(?<![0-9A-Za-z])(?:" + "|".join(PATTERNS.values()) + ")"
 _DIGITS, _LOWERS, _UPPERS, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"

@@ -408,6 +408,14 @@ def test_pseudonyms_equal_brute_force(spark):
     assert luhn(re.search("[0-9]{16}", got[0]["text"])[0], 1) % 10 == 0
 
 
+def test_neighbouring_numbers_stay_apart(spark):
+    card, phone = "4465758382889437", "+1 (569) 555-6633"
+    texts = [f"12 {card}", f"{card} 99", f"{card} {card}", f"{phone} 99", f"{phone} {card}", f"8.8.8.8 {card}", f"x,{card},y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [t.replace(card, brute_pseudonym("card", card)).replace(phone, brute_pseudonym("phone", phone)).replace("8.8.8.8", brute_pseudonym("ip", "8.8.8.8")) for t in texts]
+    assert [r["text"] for r in pii.pseudonymize(df, KEY).orderBy("doc_id").collect()] == want
+
+
 def test_what_is_not_private_stays(spark):
     texts = [None, "", "4465758382889438", "999.1.1.1", "1.2.3.4.5", "1984-02-30", "version 4.0.1 of 12", "a4465758382889437", "000-12-3456", "GB82 WEST", "x@y", "12345"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
