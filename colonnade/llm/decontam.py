@@ -35,56 +35,57 @@ def words(text: bytes) -> list[bytes]:
 
 
 class TestSet:
-    """The suffixes of a block of items; word ids are ranks in its vocabulary, 0 is foreign."""
+    """The windows of a block of items; word ids are ranks in its vocabulary, 0 is foreign."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.window = window
-        self.items = [("" if i is None else str(i), w) for i, w in ((i, words(t)) for i, t in items) if w]
-        self.vocab = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in self.items for w in ws}))}
-        coded = [(i, [self.vocab[w] for w in ws]) for i, ws in self.items]
-        self.longest = max((len(ws) for _, ws in coded), default=0)
-        #: Distinct windows, as keys, with the items that have them; a short item is one window.
+        own = [("" if i is None else str(i), w) for i, w in ((i, words(t)) for i, t in items) if w]
+        self.vocab = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in own for w in ws}))}
+        #: Items as word ids, four bytes each, big-endian: their order is that of the bytes.
+        self.items = [(i, b"".join(self.vocab[w].to_bytes(4, "big") for w in ws)) for i, ws in own]
+        #: Distinct windows with the items that have them; a short item is one window.
         self.wins: dict[bytes, set[str]] = {}
-        self.suffixes: list[tuple[str, int, bytes]] = []
-        for i, ids in coded:
-            raw = b"".join(x.to_bytes(4, "big") for x in ids)
-            size = min(window, len(ids))
-            for k in range(len(ids) - size + 1):
-                self.wins.setdefault(raw[4 * k : 4 * (k + size)], set()).add(i)
-            self.suffixes.extend((i, k, raw[4 * k :]) for k in range(len(ids)))
+        for i, raw in self.items:
+            for at in self.starts(raw):
+                self.wins.setdefault(raw[at : at + 4 * window], set()).add(i)
         self.heads: dict[int, set[bytes]] = {}
         for key in self.wins:
             n = min(HEAD, len(key) // 4)
             self.heads.setdefault(n, set()).add(key[: 4 * n])
         self.sorted_wins = sorted(self.wins)
 
+    def starts(self, raw: bytes) -> range:
+        """Where an item's windows begin, in bytes."""
+        return range(0, max(len(raw) - 4 * self.window, 0) + 1, 4)
 
-def suffix_array(texts: list[list[bytes]], tests: TestSet) -> tuple[list[bytes], list[tuple[int, int]]]:
-    """Sorted suffixes (their first words, as many as any test suffix has) and their places."""
-    get, found = tests.vocab.get, []
+
+def suffix_array(texts: list[list[bytes]], tests: TestSet) -> tuple[list[bytes], list[tuple[int, int]], dict[int, bytes]]:
+    """Suffixes sorted by their words up to a window's length, their places, and the texts' word ids.
+
+    Matches longer than a window are followed in the texts themselves, so a suffix takes no
+    more room than a window whatever the length of texts and items.
+    """
+    get, found, coded = tests.vocab.get, [], {}
     heads = [(4 * n, h) for n, h in tests.heads.items()]
-    least = min((n for n in tests.heads), default=0)
-    most = 4 * max(tests.longest, 1)
-    for d, ws in enumerate(texts):
-        ids = [get(w, 0) for w in ws]
-        known = [k for k, x in enumerate(ids) if x]
-        if len(known) < least or not known:
-            continue
-        arr = np.array(ids, ">u4")
-        ok = arr != 0
+    least = min(tests.heads, default=0)
+    most = 4 * tests.window
+    for d, ws in enumerate(texts if heads else []):
+        ids = np.fromiter((get(w, 0) for w in ws), ">u4", len(ws))
+        ok = ids != 0
         run = ok.copy()
         for k in range(1, least):  # a head has no foreign word
-            run[: len(run) - k] &= ok[k:]
-            run[len(run) - k :] = False
+            run[: max(len(run) - k, 0)] &= ok[k:]
+            run[max(len(run) - k, 0) :] = False
         starts = np.flatnonzero(run)
         if not len(starts):
             continue
-        raw = arr.tobytes()
+        raw = ids.tobytes()
         for p in starts.tolist():
             if any(raw[4 * p : 4 * p + n] in h for n, h in heads):
                 found.append((raw[4 * p : 4 * p + most], d, p))
+                coded[d] = raw
     found.sort()
-    return [s for s, _, _ in found], [(d, p) for _, d, p in found]
+    return [s for s, _, _ in found], [(d, p) for _, d, p in found], coded
 
 
 def _above(prefix: bytes) -> bytes:
@@ -92,18 +93,20 @@ def _above(prefix: bytes) -> bytes:
     return (int.from_bytes(prefix, "big") + 1).to_bytes(len(prefix), "big")
 
 
+def _range(array: list[bytes], key: bytes) -> tuple[int, int]:
+    """The run of suffixes that begin with key."""
+    lo = bisect.bisect_left(array, key)
+    if lo == len(array) or not array[lo].startswith(key):
+        return 0, 0
+    return lo, bisect.bisect_left(array, _above(key), lo)
+
+
 def window_hits(texts: list[list[bytes]], tests: TestSet) -> dict[int, tuple[list[tuple[int, int]], set[str]]]:
     """By document: spans of words under a window, and the items whose windows occur."""
-    array, places = suffix_array(texts, tests)
+    array, places, _ = suffix_array(texts, tests)
     hits: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
-    if not array:
-        return hits
-    for key in tests.sorted_wins:
-        lo = bisect.bisect_left(array, key)
-        if lo == len(array) or not array[lo].startswith(key):
-            continue
-        hi = bisect.bisect_left(array, _above(key), lo)
-        for d, p in places[lo:hi]:
+    for key in tests.sorted_wins if array else ():
+        for d, p in places[slice(*_range(array, key))]:
             spans, items = hits.setdefault(d, ([], set()))
             spans.append((p, p + len(key) // 4))
             items |= tests.wins[key]
@@ -111,24 +114,20 @@ def window_hits(texts: list[list[bytes]], tests: TestSet) -> dict[int, tuple[lis
 
 
 def longest_matches(texts: list[list[bytes]], tests: TestSet) -> list[tuple[int, int, int, str, int]]:
-    """(document, its word, length, item, its word) of each test suffix's longest match of a window or more."""
-    array, places = suffix_array(texts, tests)
+    """(document, its word, length, item, its word) of each test suffix's longest matches of a window or more."""
+    array, places, coded = suffix_array(texts, tests)
     out = []
-    for item, k, key in tests.suffixes:
-        need = min(tests.window, len(key) // 4 + k if k == 0 else tests.window)
-        at = bisect.bisect_left(array, key)
-        best = 0
-        for j in (at - 1, at):
-            if 0 <= j < len(array):
-                n = 0
-                while n < min(len(key), len(array[j])) and array[j][n : n + 4] == key[n : n + 4]:
+    for item, raw in tests.items if array else ():
+        for at in tests.starts(raw):
+            key = raw[at : at + 4 * tests.window]
+            found = []
+            for d, p in places[slice(*_range(array, key))]:
+                text, n = coded[d], len(key)
+                while text[4 * p + n : 4 * p + n + 4] == raw[at + n : at + n + 4] != b"":
                     n += 4
-                best = max(best, n)
-        if best // 4 < need:
-            continue
-        lo = bisect.bisect_left(array, key[:best])
-        hi = bisect.bisect_left(array, _above(key[:best]), lo)
-        out.extend((d, p, best // 4, item, k) for d, p in places[lo:hi])
+                found.append((n // 4, d, p))
+            best = max(found)[0] if found else 0
+            out.extend((d, p, n, item, at // 4) for n, d, p in found if n == best)
     return out
 
 
@@ -175,7 +174,7 @@ def _scan(docs: DataFrame, tests: TestSet, id_col: str, text_col: str) -> DataFr
     return rows.mapInArrow(run, f"doc_id {kind}, {_MATCHED}")
 
 
-def judge(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def judge(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the hit spans of each document."""
     items = items.select("item_id", "text")
     scans = [_scan(docs, TestSet(block, window), id_col, text_col) for block in _item_blocks(items, block_bytes)]
@@ -195,7 +194,7 @@ def _merge_blocks(found: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_words", merged.alias("spans"), "items")
 
 
-def matches(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
     """Longest verbatim matches: doc_id, doc_word, length, item_id, item_word."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -214,7 +213,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "
     return out
 
 
-def remove(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def remove(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
     """The documents that no window of an item occurs in, with all their columns; nothing is shuffled."""
     spark = ready(docs.sparkSession)
     at = docs.columns.index(text_col)

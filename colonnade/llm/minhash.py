@@ -10,8 +10,9 @@
    is, by a star: what belongs together stays together, and the next steps sort it out.
 3. Candidates' connected components (alternating large and small stars) are clusters. The texts of
    their members alone are read again, and each cluster's sets are compared exactly. Pairs are skipped
-   if already connected or if sizes or signatures rule them out. A cluster with more
-   shingles than ``cluster_shingles`` is cut into blocks whose pairs are compared in tasks of their own.
+   if already connected or if sizes or signatures rule them out. A cluster with more shingles than
+   ``cluster_shingles`` is cut into blocks: nodes are compared within blocks, then the
+   representatives of the components found, then what isn't in the largest component with all else.
 4. The links' components are the result.
 
 Two texts at the threshold share none of the bands with a probability of some 1e-6; 1e-6 is also
@@ -142,9 +143,12 @@ def _same(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _links(nodes: list[bytes], sets: list[np.ndarray], sigs: np.ndarray, left: np.ndarray, right: np.ndarray | None, percent: int, floor: float, n_perms: int, bits: int) -> list[tuple[bytes, bytes]]:
-    """A spanning forest of the exact similarity graph, within left or between left and right."""
-    sizes, root, out = np.array([len(s) for s in sets]), np.arange(len(nodes)), []
+def _links(nodes: list[bytes], sets: list[np.ndarray], sigs: np.ndarray, root: np.ndarray, left: np.ndarray, right: np.ndarray | None, percent: int, floor: float, n_perms: int, bits: int) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the exact similarity graph, within left or between left and right.
+
+    root tells what is connected already: nodes of equal roots aren't compared.
+    """
+    sizes, out = np.array([len(s) for s in sets]), []
     for at, i in enumerate(left.tolist()):
         rest = left[at + 1 :] if right is None else right
         rest = rest[(root[rest] != root[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))]
@@ -159,19 +163,72 @@ def _links(nodes: list[bytes], sets: list[np.ndarray], sigs: np.ndarray, left: n
     return out
 
 
-def _confirm(percent: int, floor: float, n_perms: int, bits: int):
-    """Exact links of one task: a whole cluster (both sides 0) or two blocks of a large one."""
+def _confirmed(tasks: DataFrame, percent: int, floor: float, n_perms: int, bits: int) -> DataFrame:
+    """Exact links a, b of tasks: component, x, y, side, label, node, sig, shingles.
+
+    A task is a group by component, x and y: all of side 0, or side 0 against side 1. Nodes
+    of one label are connected already.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node")
+        rows = rows.sort_values(["node", "side"])
         nodes, sides = rows["node"].tolist(), rows["side"].to_numpy()
+        known: dict[bytes, int] = {}
+        root = np.array([known.setdefault(x, len(known)) for x in rows["label"]])
         sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
         sigs = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(nodes), -1)
         at = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-        found = _links(nodes, sets, sigs, at[0], at[1] if len(at[1]) else None, percent, floor, n_perms, bits)
+        across = bool(rows["across"].iloc[0])
+        found = [] if across and not (len(at[0]) and len(at[1])) else _links(nodes, sets, sigs, root, at[0], at[1] if across else None, percent, floor, n_perms, bits)
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return run
+    return tasks.groupBy("component", "x", "y").applyInPandas(run, "a binary, b binary")
+
+
+_TASK = ("component", "x", "y", "side", "across", "label", "node", "sig", "shingles")
+
+
+def _within(rows: DataFrame) -> DataFrame:
+    """Each block with itself."""
+    return rows.select("component", F.col("block").alias("x"), F.col("block").alias("y"), F.lit(0).alias("side"), F.lit(False).alias("across"), F.col("node").alias("label"), "node", "sig", "shingles")
+
+
+def _between(rows: DataFrame) -> DataFrame:
+    """Each block with itself and with each other block of its cluster, once."""
+    meets = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    x, y = F.least("block", "other"), F.greatest("block", "other")
+    return meets.select("component", x.alias("x"), y.alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"), (x != y).alias("across"), "label", "node", "sig", "shingles")
+
+
+def _blocks(rows: DataFrame, limit: int) -> DataFrame:
+    """rows with parts, the number of blocks of their cluster, and block."""
+    weights = rows.groupBy("component").agg(F.ceil(F.sum(F.octet_length("shingles")) / 8 / limit).cast("int").alias("parts"))
+    return rows.drop("parts", "block").join(weights, "component").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
+
+
+def _labelled(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    return rows.drop("label").join(connected_components(links, name).withColumnRenamed("component", "known"), "node", "left").withColumn("label", F.coalesce("known", "node")).drop("known")
+
+
+def _large(rows: DataFrame, inner: DataFrame, limit: int, *how) -> DataFrame:
+    """The links of clusters of several blocks, beyond those within the blocks (inner).
+
+    The blocks' components are represented by a node each, and representatives are compared
+    first: a large group of near copies is one component after that. Only nodes outside
+    their cluster's largest component are then compared with all the others.
+    """
+    labelled = _labelled(rows, inner, "blocks")
+    first = materialize(_confirmed(_between(_blocks(labelled.where("node = label"), limit)), *how), "first-links")
+    labelled = materialize(_labelled(rows, inner.unionByName(first), "joined"), "labelled")
+    sizes = labelled.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
+    apart = labelled.join(largest, "component")
+    minor = _blocks(apart.where("label != main").withColumnRenamed("parts", "all_parts"), limit)
+    # Block m of the minor nodes meets every block of all nodes.
+    left = minor.select("component", F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.col("all_parts") - 1)).alias("y"), F.lit(0).alias("side"), F.lit(True).alias("across"), "label", "node", "sig", "shingles")
+    numbers = minor.groupBy("component").agg(F.max("parts").alias("minor_parts"))
+    right = apart.join(numbers, "component").select("component", F.explode(F.sequence(F.lit(0), F.col("minor_parts") - 1)).alias("x"), F.col("block").alias("y"), F.lit(1).alias("side"), F.lit(True).alias("across"), "label", "node", "sig", "shingles")
+    return first.unionByName(_confirmed(left.select(*_TASK).unionByName(right.select(*_TASK)), *how))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, bands: int = BANDS, rows: int = ROWS, bits: int = BITS, slack: float = 0.17, bucket_nodes: int = 256, cluster_shingles: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,13 +244,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, bands: i
     weights = members.groupBy("component").agg(F.sum("n_shingles").alias("weight"), F.count(F.lit(1)).alias("n"))
     parts = F.ceil(F.col("weight") / cluster_shingles).cast("int")
     members = materialize(members.join(weights, "component").select("node", "least", "sig", "component", parts.alias("parts")), "members")
-    sets = _sets(texts, sketched, members, width)
-    block = F.when(F.col("parts") <= 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    placed = sets.withColumn("block", block)
-    # Block i meets every j >= i: as side 0 of (i, j), as side 1 of (j, i); (i, i) is within.
-    meets = placed.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts") - 1, F.lit(0)))).alias("other"))
-    tasks = meets.select("component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "sig", "shingles")
-    links = tasks.groupBy("component", "x", "y").applyInPandas(_confirm(percent, floor, n_perms, bits), "a binary, b binary")
+    how = (percent, floor, n_perms, bits)
+    block = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    sets = _sets(texts, members.where("parts <= 1"), width).withColumn("block", F.lit(0))
+    links = materialize(_confirmed(_within(sets), *how), "links")
+    if not members.where("parts > 1").isEmpty():
+        rows_of = materialize(_sets(texts, members.where("parts > 1"), width).withColumn("block", block), "sets")
+        inner = materialize(_confirmed(_within(rows_of), *how), "inner-links")
+        links = links.unionByName(inner).unionByName(_large(rows_of, inner, cluster_shingles, *how))
     linked = connected_components(links, "linked")
     heads = nodes.select("node", "least").join(linked, "node").withColumn("head", F.min("least").over(Window.partitionBy("component"))).select("node", "head")
     told = nodes.select("node", "least").join(heads, "node", "left").select("node", F.coalesce("head", "least").alias("head"))
@@ -202,26 +260,37 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, bands: i
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def _sets(texts: DataFrame, sketched: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """The members with their shingle sets, made again from one text each."""
-    kind = texts.schema["doc_id"].dataType.simpleString()
+def _sets(texts: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """The members with their shingle sets, made again from the text of their least doc_id.
+
+    The digest tells rows that share an id apart. Nodes of rows without an id are found among
+    those rows by their digests.
+    """
+    if not members.where("least is null").isEmpty():
+        anonymous = texts.where("doc_id is null").select("text", F.lit(None).cast("binary").alias("node"))
+        found = _shingled(anonymous, width).dropDuplicates(["node"]).join(members.where("least is null").drop("least"), "node")
+        return _sets(texts, members.where("least is not null"), width).unionByName(found)
+    rows = texts.join(members.withColumnRenamed("least", "doc_id"), "doc_id")
+    extra = ["sig", "component", "parts"]
+    return _shingled(rows.select("text", "node", *extra), width, extra)
+
 
-    # A member's text is that of a row with its least doc_id; its digest tells rows that share an id apart.
-    wanted = members.where("least is not null")
-    rows = texts.join(wanted.select(F.col("least").alias("doc_id"), F.col("node"), "sig", "component", "parts"), "doc_id")
-    lost = members.where("least is null")
+def _shingled(rows: DataFrame, width: int, extra: list[str] = []) -> DataFrame:
+    """node and shingles of each text, where node isn't another one's; and extra columns."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                mine, made = [], []
+                mine, nodes, made = [], [], []
                 for i, (text, node) in enumerate(zip(as_bytes(part.column("text")), part.column("node").to_pylist())):
                     s = shingles(text.lower().split(), width)
-                    if len(s) and digest(s) == node:
+                    if len(s) and (node is None or digest(s) == node):
                         mine.append(i)
+                        nodes.append(digest(s))
                         made.append(s.tobytes())
                 part = part.take(pa.array(mine, pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("sig"), part.column("component"), part.column("parts"), pa.array(made, pa.binary())], names=["node", "sig", "component", "parts", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(made, pa.binary()), *(part.column(c) for c in extra)], names=["node", "shingles", *extra])
 
-    return rows.drop("doc_id").select("text", "node", "sig", "component", "parts").mapInArrow(run, "node binary, sig binary, component binary, parts int, shingles binary")
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in extra]
+    return rows.mapInArrow(run, ", ".join(["node binary", "shingles binary", *kinds]))

@@ -106,7 +106,24 @@ reach(doc_id, other) as (
 select n.doc_id, n_shingles, min(other) as component_id, n.doc_id = min(other) as kept
 from n join reach r on r.doc_id = n.doc_id group by 1, 2"""
 
+#: All windows of items joined to all windows of documents of the same length.
+OP10_SQL = """
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from benchmark),
+bn as (select item_id, ws, least(10, len(ws)) as n from b where len(ws) > 0),
+bi as (select item_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i from bn),
+iw as (select distinct item_id, n, array_to_string(ws[i:i + n - 1], ' ') as w from bi),
+sizes as (select distinct n from bn),
+di as (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i from d, sizes where len(ws) >= n),
+h as (select di.doc_id, iw.item_id, di.i, di.n from di join iw on iw.n = di.n and iw.w = array_to_string(di.ws[di.i:di.i + di.n - 1], ' ')),
+places as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from h) group by 1),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as all_items from (select distinct doc_id, item_id::varchar as item from h) group by 1)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(all_items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join places using (doc_id) left join items using (doc_id)"""
+
 ORACLES: dict[str, str] = {
+    "op10_benchmark_decontamination": OP10_SQL,
     "op1_minhash_near_dedup": OP1_SQL,
     "op5_url_vocabulary": urls.oracle(URL_RULES),
     "op6_license_rules": licenses.oracle(),

@@ -77,6 +77,9 @@ def test_near_duplicates_of_odd_tables(spark):
     got = sorted(map(tuple, minhash.near_duplicates(df).collect()), key=str)
     assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (None, 1, None, True), (None, 1, None, True), (3, 0, 3, True)], key=str)
     assert minhash.near_duplicates(df.limit(0)).count() == 0
+    base = [f"w{k}" for k in range(100)]
+    alike = spark.createDataFrame([(None, " ".join(base)), (None, " ".join(base[1:])), (7, " ".join(base[2:])), (8, "other words that stand alone here")], "doc_id long, text string")
+    assert sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(alike).collect()), key=str) == [(7, 7, True), (8, 8, True), (None, 7, False), (None, 7, False)]
 
 
 @pytest.mark.parametrize("bits", [1, 2, 4, 8])
