@@ -197,6 +197,11 @@ query("footer_tail")(lambda spark, d: footer.tails(spark, orc_path(spark, d, "or
 query("footer_stripes")(lambda spark, d: footer.stripes(spark, orc_path(spark, d, "orders", WriterOptions(stripe_size=65_536), **_ONE_FILE)))
 query("stripe_stats")(lambda spark, d: footer.stripe_statistics(spark, orc_path(spark, d, "orders", WriterOptions(stripe_size=65_536), **_ONE_FILE)))
 query("footer_stats", "select 2 as column_id, count(*) as n_values, min(o_custkey)::varchar as low, max(o_custkey)::varchar as high, sum(o_custkey)::bigint::varchar as total from orders")(lambda spark, d: footer.file_statistics(spark, orc_path(spark, d, "orders", **_ONE_FILE)).where("column_id = 2").select("column_id", "n_values", F.col("min").alias("low"), F.col("max").alias("high"), F.col("sum").alias("total")))
+query("footer_row_index", "select 2 as column_id, o_orderkey // 1000 as stride, count(*) as n_values, min(o_custkey)::varchar as low, max(o_custkey)::varchar as high, sum(o_custkey)::bigint::varchar as total from orders group by 2")(
+    lambda spark, d: footer.row_index(spark, orc_path(spark, d, "orders", WriterOptions(row_index_stride=1000), sort_by=["o_orderkey"], **_ONE_FILE)).where("column_id = 2").select("column_id", F.col("stride").cast("long").alias("stride"), "n_values", F.col("min").alias("low"), F.col("max").alias("high"), F.col("sum").alias("total"))
+)
+query("footer_schema", "select 'struct<o_orderkey:bigint,o_custkey:bigint,o_orderstatus:string,o_totalprice:double,o_orderdate:bigint,o_orderpriority:string>' as schema")(lambda spark, d: footer.tails(spark, orc_path(spark, d, "orders", **_ONE_FILE)).select("schema"))
+query("footer_user_metadata")(lambda spark, d: footer.user_metadata(spark, orc_path(spark, d, "orders", **_ONE_FILE)).select("key", "value"))
 query("footer_rows", "select count(*)::bigint as n from lineitem")(lambda spark, d: footer.tails(spark, orc_path(spark, d, "lineitem")).agg(F.sum("n_rows").alias("n")))
 
 # Encodings -------------------------------------------------------------------------------------------

@@ -1,95 +1,103 @@
-"""What ORC footers say, as DataFrames: tails, stripes, statistics of files, stripes and columns.
+"""What ORC footers say, as DataFrames: tails, stripes, row indexes and statistics of files and stripes.
 
-The files of a folder are listed once; each is opened for its tail alone by the ORC library that Spark
-ships. Tails are read on the driver's JVM, in blocks of files: they are small, and as many as the files.
+The driver only lists the files. Their tails are read in tasks, each some kilobytes of its file, so the
+footers of very many files take as long as their share of tasks. Values of statistics are text, as types
+differ: numbers in decimal, dates in days and timestamps in milliseconds (UTC) since 1970.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..store import ready
 
-def _files(spark: SparkSession, path: str) -> list[tuple]:
+_STATS = "n_values long, has_null boolean, bytes_on_disk long, min string, max string, sum string, n_true long"
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, file, size of the data files below a path."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    found, listed = [], fs.listFiles(root, True)
+    found, listed = [], root.getFileSystem(conf).listFiles(root, True)
     while listed.hasNext():
         f = listed.next()
         name = f.getPath().getName()
         if f.getLen() > 3 and not name.startswith(("_", ".")):
-            found.append((name, f.getPath()))
-    return sorted(found, key=lambda x: x[0])
+            found.append((f.getPath().toString(), name, f.getLen()))
+    rows = spark.createDataFrame(found, "path string, file string, size long")
+    return rows.repartition(min(len(found), 4 * spark.sparkContext.defaultParallelism)) if len(found) > 1 else rows
 
 
-def _open(spark: SparkSession, path):
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    return jvm.org.apache.orc.OrcFile.createReader(path, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+def _opened(path: str):
+    """A file of any file system that Arrow knows; plain paths and file: URIs are local."""
+    from pyarrow import fs
 
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file(path[5:].replace("//", "/") if path.startswith("file://") else path[5:])
+    if "://" not in path:
+        return fs.LocalFileSystem().open_input_file(path)
+    system, at = fs.FileSystem.from_uri(path)
+    return system.open_input_file(at)
 
-def tails(spark: SparkSession, path: str) -> DataFrame:
-    """One row a file: rows, bytes, codec, chunk size, row index stride, versions, stripes, schema."""
-    rows = []
-    for name, at in _files(spark, path):
-        r = _open(spark, at)
-        rows.append((name, r.getNumberOfRows(), r.getContentLength(), r.getCompressionKind().toString(), r.getCompressionSize(), r.getRowIndexStride(), r.getFileVersion().getName(), r.getStripes().size(), r.getSchema().toString()))
-        r.close()
-    return spark.createDataFrame(rows, "file string, n_rows long, content_bytes long, codec string, chunk_size int, row_index_stride int, version string, n_stripes int, schema string")
 
+def _rows(spark: SparkSession, path: str, schema: str, make) -> DataFrame:
+    """make(read, tail) gives a file's rows, without its name."""
+    import pandas as pd
 
-def stripes(spark: SparkSession, path: str) -> DataFrame:
-    """One row a stripe: its place, its parts' lengths and its rows."""
-    rows = []
-    for name, at in _files(spark, path):
-        r = _open(spark, at)
-        rows += [(name, k, s.getOffset(), s.getIndexLength(), s.getDataLength(), s.getFooterLength(), s.getNumberOfRows()) for k, s in enumerate(r.getStripes())]
-        r.close()
-    return spark.createDataFrame(rows, "file string, stripe int, offset long, index_bytes long, data_bytes long, footer_bytes long, n_rows long")
+    from .tail import read_tail
 
+    names = [c.split()[0] for c in schema.split(", ")]
 
-_STATS = "n_values long, has_null boolean, bytes_on_disk long, min string, max string, sum string, n_true long"
+    def run(batches):
+        for files in batches:
+            out: list[tuple] = []
+            for at, name, size in zip(files["path"], files["file"], files["size"]):
+                with _opened(at) as f:
+
+                    def read(offset: int, length: int, f=f) -> bytes:
+                        return f.read_at(length, offset)
 
+                    out += [(name, *r) for r in make(read, read_tail(read, size))]
+            yield pd.DataFrame(out, columns=["file", *names]).astype(object)
 
-def _statistics(s) -> tuple:
-    """The fields that this kind of statistics has, as text where their types differ."""
-    name = s.getClass().getSimpleName()
-    out: dict[str, object] = {}
-    plain = lambda x: None if x is None else str(x.toString()) if hasattr(x, "toString") else str(x)
-    if name.startswith(("Integer", "Double", "Decimal", "String", "Date", "Timestamp")) and s.getNumberOfValues():
-        out["min"], out["max"] = plain(s.getMinimum()), plain(s.getMaximum())
-    if name.startswith(("Integer", "Double", "Decimal", "String", "Binary")):
-        defined = not name.startswith("Integer") or s.isSumDefined()
-        out["sum"] = plain(s.getSum()) if defined else None
-    if name.startswith("Boolean"):
-        out["n_true"] = s.getTrueCount()
-    return (s.getNumberOfValues(), s.hasNull(), s.getBytesOnDisk(), out.get("min"), out.get("max"), out.get("sum"), out.get("n_true"))
+    return list_files(ready(spark), path).mapInPandas(run, f"file string, {schema}")
+
+
+def _values(s: dict) -> tuple:
+    return tuple(s[k] for k in ("n_values", "has_null", "bytes_on_disk", "min", "max", "sum", "n_true"))
+
+
+def tails(spark: SparkSession, path: str) -> DataFrame:
+    """One row a file: rows, bytes, codec, chunk size, row index stride, version, stripes, schema."""
+    return _rows(spark, path, "n_rows long, content_bytes long, codec string, chunk_size int, row_index_stride int, version string, n_stripes int, schema string", lambda read, t: [(t.n_rows, t.content_bytes, t.codec, t.chunk_size, t.stride, t.version, len(t.stripes), t.schema())])
+
+
+def stripes(spark: SparkSession, path: str) -> DataFrame:
+    """One row a stripe: its place, its parts' lengths and its rows."""
+    return _rows(spark, path, "stripe int, offset long, index_bytes long, data_bytes long, footer_bytes long, n_rows long", lambda read, t: [(k, *s.values()) for k, s in enumerate(t.stripes)])
 
 
 def file_statistics(spark: SparkSession, path: str) -> DataFrame:
     """One row a file and column id, as the file's writer counted."""
-    rows = []
-    for name, at in _files(spark, path):
-        r = _open(spark, at)
-        rows += [(name, k, *_statistics(s)) for k, s in enumerate(r.getStatistics())]
-        r.close()
-    return spark.createDataFrame(rows, f"file string, column_id int, {_STATS}")
+    return _rows(spark, path, f"column_id int, {_STATS}", lambda read, t: [(c, *_values(s)) for c, s in enumerate(t.statistics)])
 
 
 def stripe_statistics(spark: SparkSession, path: str) -> DataFrame:
     """One row a file, stripe and column id."""
-    rows = []
-    for name, at in _files(spark, path):
-        r = _open(spark, at)
-        for k, stripe in enumerate(r.getStripeStatistics()):
-            rows += [(name, k, c, *_statistics(s)) for c, s in enumerate(stripe.getColumnStatistics())]
-        r.close()
-    return spark.createDataFrame(rows, f"file string, stripe int, column_id int, {_STATS}")
+    return _rows(spark, path, f"stripe int, column_id int, {_STATS}", lambda read, t: [(k, c, *_values(s)) for k, own in enumerate(t.stripe_statistics) for c, s in enumerate(own)])
+
+
+def row_index(spark: SparkSession, path: str) -> DataFrame:
+    """One row a file, stripe, column id and row group: where its streams begin, and its statistics."""
+    from .tail import read_row_index
+
+    return _rows(spark, path, f"stripe int, column_id int, stride int, positions array<long>, {_STATS}", lambda read, t: [(k, c, n, p, *_values(s)) for k, c, n, p, s in read_row_index(read, t)])
+
+
+def user_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """One row a file and key that its writer left in the footer."""
+    return _rows(spark, path, "key string, value string", lambda read, t: [(k, v.decode("utf-8", "replace")) for k, v in t.user_metadata.items()])
 
 
 def number_of_rows(spark: SparkSession, path: str) -> int:
-    total = 0
-    for _, at in _files(spark, path):
-        r = _open(spark, at)
-        total += r.getNumberOfRows()
-        r.close()
-    return total
+    return int(tails(spark, path).agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0])

@@ -116,6 +116,37 @@ def test_footers(spark, df, tmp_path):
     assert footer.stripe_statistics(spark, path).count() == len(own)
 
 
+@pytest.mark.parametrize("codec", [c for c in CODECS if c != "lzo"])
+def test_footers_equal_the_format_library(spark, df, tmp_path, codec):
+    path = write_orc(df.repartition(2), f"file://{tmp_path}/t", WriterOptions(codec=codec, row_index_stride=1000, chunk_size=4096))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    own = {r["file"]: r for r in footer.tails(spark, path).collect()}
+    kept = {(r["file"], r["column_id"]): r for r in footer.file_statistics(spark, path).collect()}
+    for f in footer.list_files(spark, path).collect():
+        r = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f["path"]), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        got = own[f["file"]]
+        assert (got["n_rows"], got["content_bytes"], got["codec"], got["row_index_stride"], got["n_stripes"], got["schema"]) == (r.getNumberOfRows(), r.getContentLength(), r.getCompressionKind().toString(), r.getRowIndexStride(), r.getStripes().size(), r.getSchema().toString())
+        for k, s in enumerate(r.getStatistics()):
+            mine = kept[f["file"], k]
+            assert (mine["n_values"], mine["has_null"], mine["bytes_on_disk"]) == (s.getNumberOfValues(), s.hasNull(), s.getBytesOnDisk())
+            if s.getClass().getSimpleName().startswith(("Integer", "String")) and s.getNumberOfValues():
+                assert (mine["min"], mine["max"]) == (str(s.getMinimum()), str(s.getMaximum()))
+
+
+def test_row_index_of_files(spark, tmp_path):
+    path = write_orc(spark.range(2500), f"file://{tmp_path}/t", WriterOptions(row_index_stride=1000), sort_by=["id"], files=1)
+    got = [(r["stride"], r["n_values"], r["min"], r["max"]) for r in footer.row_index(spark, path).where("column_id = 1").orderBy("stride").collect()]
+    assert got == [(0, 1000, "0", "999"), (1, 1000, "1000", "1999"), (2, 500, "2000", "2499")]
+
+
+def test_broken_tails():
+    from colonnade.sources.tail import read_tail
+
+    for data in (b"", b"abc", b"x" * 40):
+        with pytest.raises((ValueError, IndexError)):
+            read_tail(lambda at, n, data=data: data[at : at + n], len(data))
+
+
 def test_counts_come_from_footers(spark, tmp_path):
     path = write_orc(spark.range(100), f"file://{tmp_path}/t")
     got = count_and_bounds(spark, path, ["id"])
