@@ -31,8 +31,9 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import BinaryType, StructField
 
-from .common import free_name, materialize, ready
+from .common import free_name, map_rows, materialize, ready
 from .components import connected_components
 from .text import as_bytes, shingles
 
@@ -231,8 +232,8 @@ def _large(rows: DataFrame, inner: DataFrame, limit: int, *how) -> DataFrame:
     return first.unionByName(_confirmed(left.select(*_TASK).unionByName(right.select(*_TASK)), *how))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, bands: int = BANDS, rows: int = ROWS, bits: int = BITS, slack: float = 0.17, bucket_nodes: int = 256, cluster_shingles: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, one row for each row of docs."""
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, bands: int = BANDS, rows: int = ROWS, bits: int = BITS, slack: float = 0.17, bucket_nodes: int = 256, cluster_shingles: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", with_node: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, one row for each row of docs; and node, the digest of its set."""
     ready(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sketched = materialize(_sketch(texts, width, bands, rows, bits), "sketch")
@@ -257,7 +258,36 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, bands: i
     told = nodes.select("node", "least").join(heads, "node", "left").select("node", F.coalesce("head", "least").alias("head"))
     out = sketched.select("doc_id", "n_shingles", "node").join(told, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("head"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), *["node"] * with_node)
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, **options) -> DataFrame:
+    """One row of docs, with all its columns, of each near-duplicate group: that of the least doc_id.
+
+    Rows without words stay. Rows that share a doc_id (or have none) are told apart by their texts'
+    digests, and of equal ones one stays; only they are hashed again.
+    """
+    found = near_duplicates(docs, width=width, id_col=id_col, text_col=text_col, with_node=True, **options)
+    key, mark = free_name(docs, "own_id"), free_name(docs, "own_node")
+    repeated = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(key)), "repeated")
+    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
+    plain = lambda own: docs[id_col].eqNullSafe(own[key])
+    if repeated.isEmpty():
+        return docs.join(dropped, plain(dropped), "left_anti")
+    single = docs.join(repeated, plain(repeated), "left_anti")
+    single = single.join(dropped, single[id_col].eqNullSafe(dropped[key]), "left_anti")
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            sets = (shingles(t.lower().split(), width) for t in as_bytes(batch.column(at)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest(s) if len(s) else None for s in sets], pa.binary())], names=[*batch.schema.names, mark])
+
+    several = map_rows(docs.join(repeated, plain(repeated), "left_semi"), run, [StructField(mark, BinaryType())])
+    kept = found.where("kept and node is not null").select(F.col("doc_id").alias(key), F.col("node").alias("kept_node")).distinct()
+    same = several[id_col].eqNullSafe(kept[key]) & (several[mark] == kept["kept_node"])
+    one = several.where(F.col(mark).isNotNull()).join(kept, same, "left_semi").dropDuplicates([id_col, mark])
+    return single.unionByName(one.drop(mark)).unionByName(several.where(F.col(mark).isNull()).drop(mark))
 
 
 def _sets(texts: DataFrame, members: DataFrame, width: int) -> DataFrame:

@@ -33,7 +33,7 @@ ROUNDS = 8
 PATTERNS = {
     "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,63})@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})\.){1,8}[A-Za-z]{2,24}",
     "secret": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<=(?:token|secret|api_key|apikey) = \")[0-9A-Za-z]{16,128}(?=\")|(?<=(?:password|passwd|token|secret|api_key|apikey)=)[0-9A-Za-z]{8,128}",
-    "iban": r"[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}(?![0-9A-Za-z])",
+    "iban": r"[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}(?![0-9A-Za-z])|[A-Z]{2}[0-9]{2}(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "ip": r"(?<![0-9]\.)(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9])|[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])",
     "card": r"[0-9]{13,19}(?![0-9])|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,7}(?![0-9])|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,7}(?![0-9])|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])",
@@ -91,13 +91,15 @@ def _luhn_sum(digits: str, odd: str) -> str:
     return f"aggregate(transform(filter(split(reverse({digits}), ''), c -> c != ''), (c, i) -> if(i % 2 = {odd}, {double}, cast(c as int))), 0, (s, v) -> s + v)"
 
 
+def _shaped(made: str, value: str) -> str:
+    """made, with value's spaces and hyphens at their places."""
+    return _let("q", made, f"array_join(transform(filter(split({value}, ''), c -> c != ''), (c, i) -> if(c in (' ', '-'), c, substr(q, length(regexp_replace(substr({value}, 1, i + 1), '[ -]', '')), 1))), '')")
+
+
 def _card(value: str, key: str) -> str:
-    digits = f"regexp_replace({value}, '[ -]', '')"
     inner = _characters("substr(d, 1, length(d) - 1)", key, "card")
     full = _let("p", inner, f"concat(p, cast(pmod(-({_luhn_sum('p', '0')}), 10) as string))")
-    # Separators go back to their places.
-    shaped = _let("q", full, f"array_join(transform(filter(split({value}, ''), c -> c != ''), (c, i) -> if(c in (' ', '-'), c, substr(q, length(regexp_replace(substr({value}, 1, i + 1), '[ -]', '')), 1))), '')")
-    return _let("d", digits, f"if(length(d) between 13 and 19 and {_luhn_sum('d', '1')} % 10 = 0, {shaped}, {value})")
+    return _let("d", f"regexp_replace({value}, '[ -]', '')", f"if(length(d) between 13 and 19 and {_luhn_sum('d', '1')} % 10 = 0, {_shaped(full, value)}, {value})")
 
 
 def _mod97(text: str) -> str:
@@ -108,9 +110,9 @@ def _mod97(text: str) -> str:
 
 
 def _iban(value: str, key: str) -> str:
-    inner = _characters(f"substr({value}, 5)", key, "iban")
-    made = _let("b", inner, f"concat(substr({value}, 1, 2), lpad(cast(98 - {_mod97(f'concat(b, substr({value}, 1, 2), {_quoted("00")})')} as string), 2, '0'), b)")
-    return f"if({_mod97(f'concat(substr({value}, 5), substr({value}, 1, 4))')} = 1, {made}, {value})"
+    inner = _characters("substr(d, 5)", key, "iban")
+    made = _let("b", inner, f"concat(substr(d, 1, 2), lpad(cast(98 - {_mod97(f'concat(b, substr(d, 1, 2), {_quoted("00")})')} as string), 2, '0'), b)")
+    return _let("d", f"replace({value}, ' ', '')", f"if({_mod97('concat(substr(d, 5), substr(d, 1, 4))')} = 1, {_shaped(made, value)}, {value})")
 
 
 def _ip(value: str, key: str) -> str:
@@ -165,7 +167,7 @@ _SHAPES = {
     "ssn": "[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "card": "[0-9](?:[ -]?[0-9]){12,18}",
     "phone": "[+(].*|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}",
-    "iban": "(?!AKIA)[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}",
+    "iban": "[A-Z]{2}[0-9]{2}[0-9A-Z ]{11,37}",
 }
 
 

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from colonnade.llm import decontam, minhash, packing, pii, rules
-from colonnade.llm.common import free_name, ready, shared_dir
+from colonnade.llm.common import ready, shared_dir
 from colonnade.llm.queries import pii_key, table, tokenizer_path
 
 
@@ -22,11 +22,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id; repeated rows once."""
-    found = minhash.near_duplicates(docs)
-    gone = free_name(docs, "dropped_id")
-    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped[gone]), "left_anti")
+    """Of each group of near-duplicates the document with the least id."""
+    return minhash.deduplicate(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

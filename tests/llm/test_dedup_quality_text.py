@@ -82,6 +82,16 @@ def test_near_duplicates_of_odd_tables(spark):
     assert sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(alike).collect()), key=str) == [(7, 7, True), (8, 8, True), (None, 7, False), (None, 7, False)]
 
 
+def test_deduplicate_keeps_columns_and_one_of_each(spark):
+    schema = "doc_id long, text string, node string, own_id int"
+    df = spark.createDataFrame([(1, "a b c", "x", 1), (1, "a b c", "x", 2), (1, "other text", "x", 3), (2, "A b c", "x", 4), (None, "x y", "x", 5), (None, "x y", "x", 6), (3, None, "x", 7), (3, None, "x", 8), (4, "", None, 9)], schema)
+    got = minhash.deduplicate(df)
+    assert got.columns == df.columns
+    assert sorted((r["text"] or "") for r in got.collect()) == ["", "", "", "a b c", "other text", "x y"]
+    plain = df.where("own_id in (1, 4, 7, 9)")
+    assert sorted(r["own_id"] for r in minhash.deduplicate(plain).collect()) == [1, 7, 9]
+
+
 @pytest.mark.parametrize("bits", [1, 2, 4, 8])
 def test_estimates_are_corrected_for_collisions(bits):
     rng = np.random.default_rng(1)
@@ -430,8 +440,10 @@ def test_pseudonyms_are_permutations(spark):
     dates = [(i, (dt.date(1900, 1, 1) + dt.timedelta(i * 61)).isoformat()) for i in range(1190)]
     got = [r["text"] for r in pii.pseudonymize(spark.createDataFrame(dates, "i int, text string"), KEY).collect()]
     assert len(set(got)) == len(dates) and all("1900-01-01" <= x <= "2099-12-31" for x in got)
-    iban = pii.pseudonymize(spark.createDataFrame([("DE89370400440532013000",)], "text string"), KEY).first()[0]
+    iban = pii.pseudonymize(spark.createDataFrame([("DE89370400440532013000",)], "text string"), "k'ey").first()[0]
     assert iban.startswith("DE") and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and iban != "DE89370400440532013000"
+    spaced = pii.pseudonymize(spark.createDataFrame([("to DE89 3704 0044 0532 0130 00 now",)], "text string"), KEY).first()[0]
+    assert spaced == f"to {' '.join(iban[k : k + 4] for k in range(0, 22, 4))} now"
 
 
 def test_pseudonyms_are_native_and_long_texts_whole(spark):
