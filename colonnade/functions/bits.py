@@ -140,14 +140,13 @@ def dictionary_decode(df, words, code: str, column: str):
     return df.join(own, F.col(code) == F.col("__code"), "left").drop("__code")
 
 
-def runs(df, order: str, value: str, least: int = 3):
+def runs(df, order: str, value: str, least: int = 3, part_rows: int = 1 << 20):
     """Runs of at least ``least`` equal values in order: value, first place and length.
 
     Places must be consecutive numbers. A row begins a run if the row before it differs; ranges of
     places are windows of their own, and runs that cross their borders are put together after.
     """
-    size = 1 << 16
-    part = F.expr(f"`{order}` div {size}")
+    part = F.expr(f"`{order}` div {part_rows}")
     w = Window.partitionBy(part).orderBy(order)
     begins = F.coalesce(F.lag(value).over(w) != F.col(value), F.lit(True)).cast("int")
     own = df.select(order, value, part.alias("p"), F.sum(begins).over(w).alias("g")).groupBy("p", "g", value).agg(F.min(order).alias("st"), F.count(F.lit(1)).alias("ln"))
@@ -156,7 +155,7 @@ def runs(df, order: str, value: str, least: int = 3):
     edge = Window.partitionBy("p")
     marked = own.select("*", F.min("g").over(edge).alias("lo"), F.max("g").over(edge).alias("hi"))
     inner = marked.where((F.col("g") != F.col("lo")) & (F.col("g") != F.col("hi"))).select(value, "st", "ln")
-    order_w = Window.orderBy("st")  # two rows a part of 65,536 places
+    order_w = Window.orderBy("st")  # at most two rows a part of a million places
     outer = marked.where((F.col("g") == F.col("lo")) | (F.col("g") == F.col("hi")))
     before = F.lag(F.struct(F.col(value).alias("v"), (F.col("st") + F.col("ln")).alias("e"))).over(order_w)
     new = F.coalesce((before["v"] != F.col(value)) | (before["e"] != F.col("st")), F.lit(True)).cast("int")

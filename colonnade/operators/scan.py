@@ -39,32 +39,35 @@ def batch_no(row_no: str, size: int):
 
 
 def batches(df: DataFrame, size: int = 10_000) -> Iterator[pa.RecordBatch]:
-    """The rows in Arrow batches of at most ``size``; one partition at a time is on the driver."""
+    """The rows in Arrow batches of ``size``, the last one of what is left.
+
+    Tasks send their Arrow batches as they are; one partition at a time (and the next, ahead) is on
+    the driver, however large the table.
+    """
     if size < 1:
         raise ValueError("a batch has one row or more")
-    for_rows = df.mapInArrow(_sliced(size), df.schema)
-    names = df.columns
-    held: list = []
-    for row in for_rows.toLocalIterator(prefetchPartitions=True):
-        held.append(row)
-        if len(held) == size:
-            yield _as_batch(held, names)
-            held = []
-    if held:
-        yield _as_batch(held, names)
-
 
-def _as_batch(rows: list, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows]) for k in range(len(names))], names=names)
-
-
-def _sliced(size: int):
     def run(found):
         for batch in found:
             for at in range(0, batch.num_rows, size):
-                yield batch.slice(at, size)
-
-    return run
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as out:
+                    out.write_batch(batch.slice(at, size))
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch"])
+
+    def whole(tables: list[pa.Table], first: int, n: int) -> pa.RecordBatch:
+        return pa.concat_tables(tables).slice(first, n).combine_chunks().to_batches()[0]
+
+    held: list[pa.Table] = []
+    n = 0
+    for row in df.mapInArrow(run, "batch binary").toLocalIterator(prefetchPartitions=True):
+        held.append(pa.ipc.open_stream(row[0]).read_all())
+        n += held[-1].num_rows
+        if n >= size:
+            yield whole(held, 0, size)
+            held, n = ([pa.concat_tables(held).slice(size)], n - size) if n > size else ([], 0)
+    if n:
+        yield whole(held, 0, n)
 
 
 def seek(df: DataFrame, row: int, row_no: str = "row_no") -> DataFrame:

@@ -169,7 +169,7 @@ def test_expressions(spark):
 def test_runs_across_window_borders(spark):
     n = (1 << 16) * 2 + 50
     own = spark.range(n).select("id", F.when(F.col("id") < 10, 1).when(F.col("id") < n - 5, 2).otherwise(3).alias("v"))
-    assert sorted(map(tuple, bits.runs(own, "id", "v").collect())) == [(1, 0, 10), (2, 10, n - 15), (3, n - 5, 5)]
+    assert sorted(map(tuple, bits.runs(own, "id", "v", part_rows=1 << 16).collect())) == [(1, 0, 10), (2, 10, n - 15), (3, n - 5, 5)]
     assert bits.runs(own.where("id < 2"), "id", "v").count() == 0
 
 
