@@ -1,62 +1,13 @@
-"""Plumbing shared by the corpus operators: worker imports, materialised tables, sizes."""
+"""Column names and pass-through beside the library's plumbing, which the corpus operators share."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-import weakref
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-_TABLES: list[tuple[weakref.ref, str]] = []
-
-
-def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package even where it isn't installed (local runs)."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if _ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
-    return spark
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="colonnade-")
-        sc.setCheckpointDir(found)
-    return found
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet to the shared folder and reads it back.
-
-    What is read later survives the loss of any executor. The table is deleted when the
-    session's Python ends, as lazy results may still read it until then.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/colonnade/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _TABLES.append((weakref.ref(spark), path))
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..store import materialize, new_path, ready, shared_dir
 
-@atexit.register
-def _drop_tables() -> None:
-    for ref, path in _TABLES:
-        spark = ref()
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session is gone, and with it the means to delete
-            pass
+__all__ = ["free_name", "map_rows", "materialize", "new_path", "ready", "shared_dir"]
 
 
 def free_name(df: DataFrame, name: str) -> str:

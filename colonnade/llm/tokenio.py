@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import encode
-from .common import ready, shared_dir
+from .common import new_path, ready
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, partitions: int | None = None) -> str:
@@ -92,8 +92,6 @@ def checksums(tokens: DataFrame) -> DataFrame:
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int, **options) -> DataFrame:
     """Writes all documents to a new folder of the shared directory and digests what is read back."""
-    import uuid
-
     spark = docs.sparkSession
-    path = write_tokens(docs, f"{shared_dir(spark)}/colonnade/tokens-{uuid.uuid4().hex}", tokenizer, end_id, **options)
+    path = write_tokens(docs, new_path(spark, "tokens"), tokenizer, end_id, **options)
     return checksums(read_tokens(spark, path))

@@ -7,12 +7,10 @@ documents (labels, benchmark) are read from sf_dir.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from colonnade.llm import decontam, minhash, packing, pii, rules
-from colonnade.llm.common import ready, shared_dir
+from colonnade.llm.common import new_path, ready
 from colonnade.llm.queries import pii_key, table, tokenizer_path
 
 
@@ -50,7 +48,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written to the shared folder and read again."""
     docs = table(ready(spark), sf_dir, "documents")
-    at = f"{shared_dir(spark)}/colonnade/pipeline-{uuid.uuid4().hex}"
+    at = new_path(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
