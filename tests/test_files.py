@@ -42,6 +42,14 @@ def test_every_row_comes_back(spark, tmp_path, n):
     assert got.count() == n and [r[0] for r in got.orderBy("id").collect()] == list(range(n))
 
 
+def test_files_without_a_byte(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "empty.orc").write_bytes(b"")
+    assert read_orc(spark, f"file://{tmp_path}/t", "id long").count() == 0
+    with pytest.raises(Exception, match="UNABLE_TO_INFER_SCHEMA"):
+        read_orc(spark, f"file://{tmp_path}/t")
+
+
 def test_options_are_checked():
     with pytest.raises(ValueError):
         WriterOptions(codec="brotli")
