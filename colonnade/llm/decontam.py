@@ -44,10 +44,13 @@ class TestSet:
         #: Items as word ids, four bytes each, big-endian: their order is that of the bytes.
         self.items = [(i, b"".join(self.vocab[w].to_bytes(4, "big") for w in ws)) for i, ws in own]
         #: Distinct windows with the items that have them; a short item is one window.
-        self.wins: dict[bytes, set[str]] = {}
+        self.wins: dict[bytes, tuple[str, ...]] = {}
         for i, raw in self.items:
             for at in self.starts(raw):
-                self.wins.setdefault(raw[at : at + 4 * window], set()).add(i)
+                key = raw[at : at + 4 * window]
+                have = self.wins.get(key, ())
+                if i not in have:
+                    self.wins[key] = (*have, i)
         self.heads: dict[int, set[bytes]] = {}
         for key in self.wins:
             n = min(HEAD, len(key) // 4)
@@ -109,7 +112,7 @@ def window_hits(texts: list[list[bytes]], tests: TestSet) -> dict[int, tuple[lis
         for d, p in places[slice(*_range(array, key))]:
             spans, items = hits.setdefault(d, ([], set()))
             spans.append((p, p + len(key) // 4))
-            items |= tests.wins[key]
+            items.update(tests.wins[key])
     return hits
 
 
@@ -174,7 +177,7 @@ def _scan(docs: DataFrame, tests: TestSet, id_col: str, text_col: str) -> DataFr
     return rows.mapInArrow(run, f"doc_id {kind}, {_MATCHED}")
 
 
-def judge(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
+def judge(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the hit spans of each document."""
     items = items.select("item_id", "text")
     scans = [_scan(docs, TestSet(block, window), id_col, text_col) for block in _item_blocks(items, block_bytes)]
@@ -194,7 +197,7 @@ def _merge_blocks(found: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_words", merged.alias("spans"), "items")
 
 
-def matches(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """Longest verbatim matches: doc_id, doc_word, length, item_id, item_word."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -213,7 +216,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "
     return out
 
 
-def remove(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
+def remove(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """The documents that no window of an item occurs in, with all their columns; nothing is shuffled."""
     spark = ready(docs.sparkSession)
     at = docs.columns.index(text_col)
