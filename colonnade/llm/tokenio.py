@@ -12,7 +12,7 @@ the format's version 2; row groups and pages have fixed sizes, and each column c
 column and offset index, so a read for few documents or of metadata alone touches little.
 
 Edge cases: a null text is encoded as empty and holds the end id alone; null doc_ids come first;
-rows that share a doc_id are kept, in the order of their texts; an empty table gives empty files.
+rows that share a doc_id are kept, in the order of their texts' hashes; an empty table gives empty files.
 """
 
 from __future__ import annotations
@@ -35,9 +35,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The order of doc_id, equal ones by text: the same whichever executor makes a partition again.
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    ordered = ordered.select("doc_id", "text", F.spark_partition_id().alias("part"))
+    # The order of doc_id, equal ones by a hash of their texts and by the texts: the same whichever executor
+    # makes a partition again, and rows without an id, however many, are ranged over partitions, too.
+    hashed = rows.withColumn("tie", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("text").asc_nulls_first()]
+    ordered = hashed.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches):
         coder, at = encode.encoder(tokenizer), 0
