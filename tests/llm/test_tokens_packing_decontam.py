@@ -25,8 +25,11 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, tokens string, part string").repartition(3)
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+
+
 def ids_of(text, end):
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [end]
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids + [end]
 
 
 def crc(ids):
