@@ -99,11 +99,20 @@ def days_date(n: Column | str) -> Column:
     return F.date_from_unix_date(F.col(n) if isinstance(n, str) else n)
 
 
+def utc_micros(ts: Column | str) -> Column:
+    """Microseconds since 1970: of an instant, or of a time without zone read as UTC, in any session zone."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    million = F.lit(1_000_000).cast("long")
+    clock = date_days(ts).cast("long") * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60
+    parts = clock * million + (F.extract(F.lit("SECOND"), ts) * million).cast("long")
+    return F.when(F.typeof(ts) == "timestamp_ntz", parts).otherwise(F.unix_micros(ts.cast("timestamp")))
+
+
 def timestamp_parts(ts: Column | str) -> Column:
-    """struct(secs since 2015, nanos) of a timestamp, with the session in UTC."""
-    us = F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
-    nanos = F.pmod(us, F.lit(1_000_000).cast("long")) * 1000
-    return F.struct((F.floor(us / 1_000_000) - TIMESTAMP_BASE).cast("long").alias("secs"), nanos.cast("long").alias("nanos"))
+    """struct(secs since 2015, nanos) of a timestamp."""
+    us = utc_micros(ts)
+    micros = F.pmod(us, F.lit(1_000_000).cast("long"))
+    return F.struct(((us - micros) / 1_000_000 - TIMESTAMP_BASE).cast("long").alias("secs"), (micros * 1000).cast("long").alias("nanos"))
 
 
 def present_byte(present: Column, position: Column) -> Column:

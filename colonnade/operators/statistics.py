@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType, BooleanType, ByteType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, TimestampNTZType, TimestampType
 
+from ..functions.bits import utc_micros
+
 #: Longer strings have bounds in place of values.
 STRING_LIMIT = 1024
 
@@ -27,7 +29,7 @@ def aggregates(name: str, kind: DataType) -> list[Column]:
         days = F.datediff(c, F.lit("1970-01-01").cast("date"))
         out += [F.min(days).alias(f"{name}_min"), F.max(days).alias(f"{name}_max")]
     elif isinstance(kind, (TimestampType, TimestampNTZType)):
-        ms = F.unix_millis(c.cast("timestamp"))
+        ms = F.floor(utc_micros(c) / 1000)
         out += [F.min(ms).alias(f"{name}_min"), F.max(ms).alias(f"{name}_max")]
     elif isinstance(kind, BinaryType):
         out.append(F.sum(F.octet_length(c)).alias(f"{name}_sum"))

@@ -301,5 +301,5 @@ query("rle_v2_roundtrip", f"select o_orderkey, {_NULLABLE} as v from orders")(la
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reference's benchmark in small: a zlib file of events, scanned in batches with a projection."""
+    """A zlib file of events, scanned in batches with a projection."""
     return scan_batches_100(spark, sf_dir)

@@ -174,6 +174,21 @@ def test_expressions(spark):
     assert all(r["n"] == r["p"] for r in got) and {r["n"]: r["s"] for r in got}[1000] == 0x0A and {r["n"]: r["s"] for r in got}[100000] == 0x0C
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_times_without_zone_do_not_depend_on_the_session(spark, zone):
+    times = [dt.datetime(2024, 7, 1, 12, 30, 59, 999999), dt.datetime(1969, 12, 31, 23, 59, 59, 1), dt.datetime(2015, 1, 1)]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        own = spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz")
+        got = own.select(bits.timestamp_parts("ts").alias("p")).select("p.*").collect()
+        base = dt.datetime(2015, 1, 1)
+        assert [(r["secs"], r["nanos"]) for r in got] == [((t - base) // dt.timedelta(seconds=1), t.microsecond * 1000) for t in times]
+        assert statistics.file_stats(own, ["ts"]).first()["ts_max"] == 1719837059999
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_runs_across_window_borders(spark):
     n = (1 << 16) * 2 + 50
     own = spark.range(n).select("id", F.when(F.col("id") < 10, 1).when(F.col("id") < n - 5, 2).otherwise(3).alias("v"))
