@@ -42,13 +42,13 @@ _BAD_PAGE_WORD = re.compile(r"(?:^|[\s_-])(?:header|banner)(?:$|[\s_-])", re.I)
 class Node:
     __slots__ = ("tag", "bad", "items", "key")
 
-    def __init__(self, tag: str, bad: bool):
+    def __init__(self, tag: str, bad: int):
         self.tag, self.bad, self.items, self.key = tag, bad, [], 0
 
 
 def parse(page: str) -> Node:
     """The tree of a page's elements and its raw texts."""
-    root = Node("#", False)
+    root = Node("#", 0)
     stack, at, n = [root], 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -99,28 +99,36 @@ def parse(page: str) -> Node:
             bad = bad or bool(re.search(r"\shidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true", attributes, re.I))
         if tag == "header" and not any(x.tag in ("article", "main") for x in stack):
             bad = True
-        node = Node(tag, bad)
+        node = Node(tag, 2 if tag in _NEVER or tag == "header" and bad else int(bad))  # by its element, or by its words
         stack[-1].items.append(node)
         if tag not in _VOID:
             stack.append(node)
     return root
 
 
-def _outermost(node: Node, tag: str, out: list[Node]) -> list[Node]:
-    todo = [node]
+def _outermost(root: Node, tag: str, within: int = 0) -> list[Node]:
+    """The tag's outermost elements, looked for in elements that are bad by their words (within 1) or not."""
+    out, todo = [], [root]
     while todo:
         x = todo.pop()
-        if x.tag == tag:
+        if x.tag == tag and not x.bad:
             out.append(x)
         else:
-            todo.extend(y for y in reversed(x.items) if isinstance(y, Node) and not y.bad)
+            todo.extend(y for y in reversed(x.items) if isinstance(y, Node) and y.bad <= within)
     return out
 
 
 def content(page: str | None) -> list[Node]:
-    """The elements that hold a page's content."""
+    """The elements that hold a page's content.
+
+    A wrapper's words (a page "with sidebar") don't hide the only article or main element there is.
+    """
     root = parse(page or "")
-    return _outermost(root, "article", []) or _outermost(root, "main", []) or _outermost(root, "body", []) or [root]
+    for within in (0, 1):
+        for tag in ("article", "main"):
+            if found := _outermost(root, tag, within):
+                return found
+    return _outermost(root, "body") or [root]
 
 
 def subtree_keys(tops: list[Node]) -> tuple[list[int], int]:

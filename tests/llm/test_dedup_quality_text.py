@@ -222,6 +222,8 @@ def test_extraction():
     assert templates.extract("<p>only &am") == "only &am"
     assert templates.extract("<body><p>a</p><nav>n</nav>b<script>x") == "a\n\nb"
     assert templates.extract("<article>cut in a <di") == "cut in a"
+    assert templates.extract('<div class="layout with-sidebar"><div class="sidebar">s</div><article>own</article></div>') == "own"
+    assert templates.extract('<article>own</article><div class="comments"><article>theirs</article></div>') == "own"
     assert templates.extract("<p>" * 20_000 + "deep" + "<div>" * 20_000) == "deep"
 
 
