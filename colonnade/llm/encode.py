@@ -23,9 +23,9 @@ _WORD = r"^ ?[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+$"
 #: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 JOINED = 4096
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 3 << 19
 
 
 class Encoder:
@@ -170,7 +170,10 @@ def encoder(path: str) -> Encoder:
 
 
 def blocks(batch: pa.RecordBatch, column: str, most: int = BLOCK_BYTES):
-    """Slices of the batch whose texts hold about so many bytes, or a single longer text."""
+    """Slices of the batch whose texts hold about so many bytes, or a single longer text.
+
+    After the last one the memory that Arrow keeps for itself is given back.
+    """
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     at, held = 0, 0
     for i, size in enumerate(sizes):
@@ -180,3 +183,4 @@ def blocks(batch: pa.RecordBatch, column: str, most: int = BLOCK_BYTES):
         held += int(size)
     if at < len(sizes):
         yield batch.slice(at)
+    pa.default_memory_pool().release_unused()
