@@ -7,7 +7,8 @@ are the window's places. The array is sparse: a suffix enters only if its first
 run in some test item, as no other can match a window. Suffixes end with their document.
 
 The test items are the stated query set. They go to the tasks in blocks of at most
-``block_bytes`` of text, whatever the size of their table; hits of all blocks are merged.
+``block_bytes`` of text, whatever the size of their table; hits of all blocks are merged by
+doc_id and the text's digest, so rows that share a doc_id, or have none, stay rows of their own.
 
 Edge cases: null texts have no words; items without words never occur; items shorter than a
 window are one window; repeated rows are each judged, repeated items count once.
@@ -17,9 +18,11 @@ from __future__ import annotations
 
 import bisect
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import map_rows, ready
@@ -154,10 +157,11 @@ def _item_blocks(items: DataFrame, block_bytes: int):
         yield [(r[0], bytes(r[1] or b"")) for r in part.select("item_id", F.encode("text", "UTF-8")).collect()]
 
 
-_MATCHED = "n_words long, spans array<struct<a:int,b:int>>, items array<string>"
+_MATCHED = "n_words long, spans array<struct<a:int,b:int>>, items array<string>, digest binary"
 
 
-def _scan(docs: DataFrame, tests: TestSet, id_col: str, text_col: str) -> DataFrame:
+def _scan(docs: DataFrame, tests: TestSet, id_col: str, text_col: str, digests: bool) -> DataFrame:
+    """doc_id, n_words, spans, items of each row; digest is the text's hash, null without digests."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     spark = ready(docs.sparkSession)
@@ -168,11 +172,12 @@ def _scan(docs: DataFrame, tests: TestSet, id_col: str, text_col: str) -> DataFr
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                texts = [words(t) for t in as_bytes(part.column("text"))]
+                raw = as_bytes(part.column("text"))
+                texts = [words(t) for t in raw]
                 hits = window_hits(texts, own)
                 spans = [[{"a": a, "b": b} for a, b in _merge(hits[i][0])] if i in hits else [] for i in range(len(texts))]
                 found = [sorted(hits[i][1]) if i in hits else [] for i in range(len(texts))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(found, pa.list_(pa.string())), pa.array([xxhash.xxh3_128_digest(t) if digests else None for t in raw], pa.binary())], names=["doc_id", "n_words", "spans", "items", "digest"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, {_MATCHED}")
 
@@ -180,21 +185,29 @@ def _scan(docs: DataFrame, tests: TestSet, id_col: str, text_col: str) -> DataFr
 def judge(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the hit spans of each document."""
     items = items.select("item_id", "text")
-    scans = [_scan(docs, TestSet(block, window), id_col, text_col) for block in _item_blocks(items, block_bytes)]
-    found = scans[0]
-    if len(scans) > 1:  # spans of several blocks may overlap
-        found = _merge_blocks(reduce(DataFrame.unionByName, scans))
+    blocks = _item_blocks(items, block_bytes)
+    block, later = next(blocks), next(blocks, None)
+    found = _scan(docs, TestSet(block, window), id_col, text_col, later is not None)
+    if later is not None:  # spans of several blocks may overlap
+        scans = [found, *(_scan(docs, TestSet(b, window), id_col, text_col, True) for b in chain([later], blocks))]
+        found = _merge_blocks(reduce(DataFrame.unionByName, (s.withColumn("block", F.lit(k)) for k, s in enumerate(scans))))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["b"] - s["a"]))
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans")
 
 
 def _merge_blocks(found: DataFrame) -> DataFrame:
-    """One row a document from one a document and block. Rows that share a doc_id become one here."""
-    rows = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    """The rows of one block's scan, each with the hits of all blocks.
+
+    Rows of one doc_id and one text have equal hits: they are merged once and repeated as often
+    as the first block has them. What is collected is at most one list a block.
+    """
+    hit = lambda c: F.flatten(F.collect_set(F.when(F.size(c) > 0, F.col(c))))
+    rows = found.groupBy("doc_id", "digest").agg(F.max("n_words").alias("n_words"), F.array_sort(hit("spans")).alias("all"), F.array_sort(F.array_distinct(hit("items"))).alias("items"), F.count_if(F.col("block") == 0).cast("int").alias("n_rows"))
     last = lambda acc: F.element_at(acc, -1)
     empty = F.array().cast("array<struct<a:int,b:int>>")
     merged = F.aggregate("all", empty, lambda acc, s: F.when((F.size(acc) > 0) & (s["a"] <= last(acc)["b"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["a"].alias("a"), F.greatest(last(acc)["b"], s["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(s))))
-    return rows.select("doc_id", "n_words", merged.alias("spans"), "items")
+    merged_rows = rows.select("doc_id", "n_words", merged.alias("spans"), "items", "n_rows")
+    return merged_rows.withColumn("row", F.explode(F.sequence(F.lit(1), "n_rows"))).drop("row", "n_rows")
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:

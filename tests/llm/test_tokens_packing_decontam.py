@@ -148,6 +148,18 @@ def test_decontamination(spark, block_bytes):
     assert {r[0] for r in kept.collect()} == {r[0] for r in got if not r["contaminated"]}
 
 
+@pytest.mark.parametrize("block_bytes", [8 << 20, 60])
+def test_decontamination_judges_every_row(spark, block_bytes):
+    """Rows that share a doc_id, or have none, and equal rows, with one block of items and with several."""
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(14))) for i in range(8)]
+    a, b, c = (f"one {items[i][1]} two {items[(i + 3) % 8][1]}" for i in (0, 1, 5))
+    texts = [(1, a), (1, b), (1, a), (1, "no hit at all"), (None, a), (None, c), (None, c), (None, None), (None, ""), (2, ""), (3, " ".join(t for _, t in items))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = decontam.judge(docs, spark.createDataFrame(items, "item_id long, text string"), 10, block_bytes=block_bytes).drop("spans").collect()
+    want = [(d, *brute([(d, t)], items, 10)[d]) for d, t in texts]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_longest_matches_and_empty_tables(spark):
     item = " ".join(f"w{i}" for i in range(25))
     docs = spark.createDataFrame([(1, "x y " + " ".join(f"W{i}" for i in range(3, 20)) + " z"), (2, "nothing here")], "doc_id long, text string")
