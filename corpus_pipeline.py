@@ -20,7 +20,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id."""
+    """Of each group of near-duplicates (0.8 or more of the five-word shingles) the document with the least id."""
     return minhash.deduplicate(docs)
 
 

@@ -1,0 +1,35 @@
+"""The near-dedup stage at its similarity of 0.80."""
+
+import os
+
+import pytest
+
+SF = "/root/testdata/sf0.001"
+
+
+def pair(name, n, common):
+    """Two texts of n five-word shingles each of which they share common."""
+    one = [f"{name}{k}" for k in range(n + 4)]
+    return " ".join(one), " ".join(one[: common + 4] + [f"{name}x{k}" for k in range(n - common)])
+
+
+def test_stage_drops_copies_from_080_on(spark):
+    import corpus_pipeline as p
+    from test_dedup_quality_text import brute_components
+
+    texts = [t for n, common in ((90, 80), (190, 170), (180, 160), (91, 80), (170, 140), (40, 36)) for t in pair(f"p{n}w", n, common)]
+    docs = list(enumerate(texts))
+    want = {r[0] for r in brute_components(docs, 80) if r[3]}
+    assert want == {0, 2, 4, 6, 7, 8, 9, 10}
+    assert want != {r[0] for r in brute_components(docs, 85) if r[3]}
+    assert {r["doc_id"] for r in p.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF).collect()} == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_stage_equals_brute_force_at_080(spark):
+    import corpus_pipeline as p
+    from test_dedup_quality_text import brute_components
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r[0] for r in brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], 80) if r[3]}
+    assert {r["doc_id"] for r in p.near_dedup(spark, docs, SF).collect()} == want
