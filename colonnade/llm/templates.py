@@ -7,7 +7,9 @@
 2. Every element of the content is hashed with all below it. In Spark, hashes are counted per host over
    distinct contents (copies of one page count once), pre-aggregated before the shuffle.
 3. Subtrees in at least ``least`` distinct contents and the ``share`` of the host's are its
-   template. Their list goes to all tasks if it has at most ``broadcast_rows`` rows; a longer one is
+   template. Blocks (elements that aren't within a line or a table's row) already are if they are in
+   ``many`` distinct contents or the ``low_share`` of the host's, whichever is less: the templates of
+   a large host's sections, languages and layouts are each on a small part of it. Their list goes to all tasks if it has at most ``broadcast_rows`` rows; a longer one is
    joined to the hashes of the pages, so that each page gets its own part alone.
 4. Pages are parsed again, template subtrees are deleted, and the rest is written out in blocks.
 
@@ -131,9 +133,9 @@ def content(page: str | None) -> list[Node]:
     return _outermost(root, "body") or [root]
 
 
-def subtree_keys(tops: list[Node]) -> tuple[list[int], int]:
-    """A hash of each element below the tops, with all it holds, and one of the whole content."""
-    keys: list[int] = []
+def subtree_keys(tops: list[Node]) -> tuple[dict[int, bool], int]:
+    """A hash of each element of the tops, with all it holds, and whether it's a block; and one hash of the whole content."""
+    keys: dict[int, bool] = {}
     order, todo = [], list(tops)
     while todo:  # parents before children, without recursion: trees may be deep
         x = todo.pop()
@@ -151,7 +153,7 @@ def subtree_keys(tops: list[Node]) -> tuple[list[int], int]:
                     parts.append(text)
         x.key = xxhash.xxh64_intdigest("\x01".join(parts)) - 2**63
         if x.tag not in _VOID and len(parts) > 1:
-            keys.append(x.key)
+            keys[x.key] = x.tag in _BLOCK
     return keys, xxhash.xxh64_intdigest(repr([x.key for x in tops])) - 2**63
 
 
@@ -187,36 +189,39 @@ def extract(page: str | None, template: set[int] | frozenset = frozenset()) -> s
 
 
 def _host_keys(pages: DataFrame) -> DataFrame:
-    """host, content, keys: one row a page; what a page has twice counts once."""
+    """host, content, keys (of blocks, and of other elements): one row a page; what a page has twice counts once."""
 
     def run(batches):
         for batch in batches:
-            hosts, whole, keys = [], [], []
+            hosts, whole, blocks, others = [], [], [], []
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
                 own, top = subtree_keys(content(page))
                 hosts.append(split_url(url)[0])
                 whole.append(top)
-                keys.append(list(set(own)))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(whole, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["host", "content", "keys"])
+                blocks.append([k for k, block in own.items() if block])
+                others.append([k for k, block in own.items() if not block])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(whole, pa.int64()), pa.array(blocks, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.int64()))], names=["host", "content", "blocks", "others"])
 
-    return pages.mapInArrow(run, "host string, content long, keys array<long>")
+    return pages.mapInArrow(run, "host string, content long, blocks array<long>, others array<long>")
 
 
-def host_templates(pages: DataFrame, least: int = 5, share: float = 0.5) -> DataFrame:
+def host_templates(pages: DataFrame, least: int = 5, share: float = 0.5, many: int = 20, low_share: float = 0.25) -> DataFrame:
     """host, key of the subtrees that recur across many pages of a host."""
     contents = materialize(_host_keys(pages.select("url", "html")).dropDuplicates(["host", "content"]), "contents")
     sizes = contents.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    counts = contents.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("seen")).where(F.col("seen") >= least)
-    return counts.join(sizes, "host").where(F.col("seen") >= share * F.col("n")).select("host", "key")
+    each = [contents.select("host", F.explode(c).alias("key"), F.lit(c == "blocks").alias("block")) for c in ("blocks", "others")]
+    counts = each[0].unionByName(each[1]).groupBy("host", "key", "block").agg(F.count(F.lit(1)).alias("seen")).where(F.col("seen") >= least)
+    enough = F.when(F.col("block"), F.least(F.lit(float(many)), low_share * F.col("n"))).otherwise(share * F.col("n"))
+    return counts.join(sizes, "host").where((F.col("seen") >= enough) | (F.col("seen") >= share * F.col("n"))).select("host", "key")
 
 
-def main_text(pages: DataFrame, least: int = 5, share: float = 0.5, broadcast_rows: int = 500_000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, least: int = 5, share: float = 0.5, broadcast_rows: int = 500_000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", many: int = 20, low_share: float = 0.25) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     spark = ready(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kind = rows.schema["page_id"].dataType.simpleString()
     schema = f"page_id {kind}, url string, text string, n_chars long"
-    templates = materialize(host_templates(rows, least, share), "templates")
+    templates = materialize(host_templates(rows, least, share, many, low_share), "templates")
 
     def answer(batch, texts):
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
@@ -235,7 +240,7 @@ def main_text(pages: DataFrame, least: int = 5, share: float = 0.5, broadcast_ro
 
     # Each content's own part of its host's template, joined by content to the pages.
     contents = _host_keys(rows.select("url", "html")).dropDuplicates(["host", "content"])
-    own = contents.select("host", "content", F.explode("keys").alias("key")).join(templates, ["host", "key"]).groupBy("host", "content").agg(F.collect_list("key").alias("drop"))
+    own = contents.select("host", "content", F.explode(F.concat("blocks", "others")).alias("key")).join(templates, ["host", "key"]).groupBy("host", "content").agg(F.collect_list("key").alias("drop"))
 
     def mark(batches):
         for batch in batches:
