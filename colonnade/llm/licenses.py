@@ -29,6 +29,9 @@ SENTENCES = {
     "apache-head": "Licensed under the Apache License, Version 2.0 (the \"License\");",
     "apache-use": "you may not use this file except in compliance with the License.",
     "apache-copy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-at": "You may obtain a copy of the License at",
+    "apache-url": "http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-url-s": "https://www.apache.org/licenses/LICENSE-2.0",
     "gpl3-short": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-free": "This program is free software:",
     "gpl3-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -45,6 +48,7 @@ SENTENCES = {
     "cc-by": "Licensed under CC BY 4.0.",
     "cc0": "This work is dedicated to the public domain under the CC0 1.0 licence.",
     "mpl2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl2-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
     "reserved": "All rights reserved.",
 }
 RULES = [
@@ -53,7 +57,11 @@ RULES = [
     ("MIT", ["mit-grant", "mit-notice", "mit-warranty"]),
     ("MIT", ["mit-grant", "mit-notice"]),
     ("Apache-2.0", ["apache-head", "apache-use", "apache-copy"]),
+    ("Apache-2.0", ["apache-head", "apache-use", "apache-at", "apache-url"]),
+    ("Apache-2.0", ["apache-head", "apache-use", "apache-at", "apache-url-s"]),
+    ("Apache-2.0", ["apache-head", "apache-use"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl3-terms"]),
+    ("GPL-2.0-or-later", ["gpl-free", "gpl2-published", "gpl2-version"]),  # normalised, gpl2-free is gpl-free
     ("GPL-2.0-or-later", ["gpl2-free", "gpl2-published", "gpl2-version"]),
     ("GPL-2.0-or-later", ["gpl2-free", "gpl2-terms"]),
     ("MIT", ["mit-short"]),
@@ -65,6 +73,7 @@ RULES = [
     ("CC-BY-4.0", ["cc-by"]),
     ("CC0-1.0", ["cc0"]),
     ("MPL-2.0", ["mpl2"]),
+    ("MPL-2.0", ["mpl2-form"]),
     ("LicenseRef-All-Rights-Reserved", ["reserved"]),
 ]
 KEYWORDS = ("licen[sc]e", "sublicense", "license", "redistribut", "copyright", "reserved", "software", "warranty", "contributors")
