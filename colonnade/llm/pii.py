@@ -13,7 +13,8 @@ is valid is permuted, keyed, within its own format:
 * cards: all digits but the last are permuted and the last is Luhn's check digit again; IBANs keep
   their country and get new check digits.
 * dates: a network over the 73,049 = 319 x 229 days of 1900 to 2099 (days of a leap cycle fit no
-  power), written in the format found.
+  power), written in the format found: yyyy-MM-dd, dd.MM.yyyy, MM/dd/yyyy or, where that is no
+  date, dd/MM/yyyy; each also with a day or month of one digit, then written without leading zeros.
 
 A text is split at its findings and joined again around the pseudonyms, so whole texts of any
 length are handled, and those without a digit or an at sign are left at once.
@@ -35,7 +36,7 @@ PATTERNS = {
     "secret": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<=(?:token|secret|api_key|apikey) = \")[0-9A-Za-z]{16,128}(?=\")|(?<=(?:password|passwd|token|secret|api_key|apikey)=)[0-9A-Za-z]{8,128}",
     "iban": r"[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}(?![0-9A-Za-z])|[A-Z]{2}[0-9]{2}(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "ip": r"(?<![0-9]\.)(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9])|[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])",
+    "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9])|[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])|[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?![0-9-])|(?<![0-9]\.)[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9]|\.[0-9])|(?<![0-9]/)[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9/])",
     "card": r"[0-9]{13,19}(?![0-9])|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,7}(?![0-9])|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,7}(?![0-9])|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])",
     "ssn": r"(?<![0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])",
@@ -121,13 +122,15 @@ def _ip(value: str, key: str) -> str:
 
 
 def _date(value: str, key: str) -> str:
-    def one(pattern: str, form: str, day: str) -> str:
-        number = f"datediff({day}, date'{_FIRST}')"
-        moved = _let("dn", f"cast({number} as bigint)", f"if(dn between 0 and {_A * _B - 1}, {_let('m', _feistel(f'array(dn div {_B}, dn % {_B})', f'array({_A}L, {_B}L)', key, 'date'), f'date_format(date_add(date{_quoted(_FIRST)}, cast(m[0] * {_B} + m[1] as int)), {_quoted(form)})')}, {value})")
-        return f"when {value} rlike '{pattern}' then coalesce({moved}, {value})"
-
-    tried = lambda a, b, c: f"try_cast(concat_ws('-', substr({value}, {a}, 4), substr({value}, {b}, 2), substr({value}, {c}, 2)) as date)"
-    return f"case {one('^[0-9]{4}-', 'yyyy-MM-dd', tried(1, 6, 9))} {one('^[0-9]{2}[.]', 'dd.MM.yyyy', tried(7, 4, 1))} {one('^[0-9]{2}/', 'MM/dd/yyyy', tried(7, 1, 4))} else {value} end"
+    """Slashes are read as MM/dd, and as dd/MM where that is no date; the pseudonym has the order found."""
+    tried = lambda y, m, d: f"try_cast(concat_ws('-', dp[{y}], dp[{m}], dp[{d}]) as date)"
+    days = f"case when {value} like '%-%' then array({tried(0, 1, 2)}) when {value} like '%.%' then array({tried(2, 1, 0)}) else array({tried(2, 0, 1)}, {tried(2, 1, 0)}) end"
+    form = f"case when {value} like '%-%' then 'yyyy-MM-dd' when {value} like '%.%' then 'dd.MM.yyyy' when ds[0] is not null then 'MM/dd/yyyy' else 'dd/MM/yyyy' end"
+    # A part of one digit: neither day nor month has leading zeros.
+    form = f"if(exists(dp, x -> length(x) = 1), replace(replace({form}, 'MM', 'M'), 'dd', 'd'), {form})"
+    made = _let("m", _feistel(f"array(dn div {_B}, dn % {_B})", f"array({_A}L, {_B}L)", key, "date"), f"date_format(date_add(date{_quoted(_FIRST)}, cast(m[0] * {_B} + m[1] as int)), {form})")
+    moved = _let("dn", f"cast(datediff(coalesce(ds[0], get(ds, 1)), date'{_FIRST}') as bigint)", f"if(dn between 0 and {_A * _B - 1}, {made}, {value})")
+    return _let("dp", f"split({value}, '[-./]')", _let("ds", days, moved))
 
 
 def _email(value: str, key: str) -> str:
@@ -163,7 +166,7 @@ def _pseudonym(value: str, key: str) -> str:
 _SHAPES = {
     "email": ".*@.*",
     "ip": "(?:[0-9]{1,3}[.]){3}[0-9]{1,3}",
-    "date": "[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[.][0-9]{2}[.][0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}",
+    "date": "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}",
     "ssn": "[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "card": "[0-9](?:[ -]?[0-9]){12,18}",
     "phone": "[+(].*|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}",

@@ -1,0 +1,37 @@
+"""Dates in the orders and widths that documents have."""
+
+import datetime as dt
+
+import pytest
+
+from colonnade.llm import pii
+from test_dedup_quality_text import KEY, brute_pseudonym
+
+#: A date as found, and how its pseudonym is written.
+DATES = [
+    ("25/12/1984", (1984, 12, 25), "{d:02}/{m:02}/{y}"),
+    ("12/25/1984", (1984, 12, 25), "{m:02}/{d:02}/{y}"),
+    ("05/03/1984", (1984, 5, 3), "{m:02}/{d:02}/{y}"),
+    ("31/1/2001", (2001, 1, 31), "{d}/{m}/{y}"),
+    ("1/31/2001", (2001, 1, 31), "{m}/{d}/{y}"),
+    ("3/4/1999", (1999, 3, 4), "{m}/{d}/{y}"),
+    ("29/02/2000", (2000, 2, 29), "{d:02}/{m:02}/{y}"),
+    ("1.2.1984", (1984, 2, 1), "{d}.{m}.{y}"),
+    ("01.12.1984", (1984, 12, 1), "{d:02}.{m:02}.{y}"),
+    ("1.12.1984", (1984, 12, 1), "{d}.{m}.{y}"),
+    ("1984-2-9", (1984, 2, 9), "{y}-{m}-{d}"),
+    ("1984-12-09", (1984, 12, 9), "{y}-{m:02}-{d:02}"),
+]
+
+
+def test_dates_in_all_orders(spark):
+    got = {r["v"]: r["text"] for r in pii.pseudonymize(spark.createDataFrame([(v, f"né le {v}, ({v}).") for v, _, _ in DATES], "v string, text string"), KEY).collect()}
+    for v, ymd, form in DATES:
+        to = dt.date.fromisoformat(brute_pseudonym("date", dt.date(*ymd).isoformat()))
+        p = form.format(y=to.year, m=to.month, d=to.day)
+        assert p != v and got[v] == f"né le {p}, ({p}).", v
+
+
+@pytest.mark.parametrize("text", ["31/13/1984", "30/02/1984", "13/13/1984", "32.1.1984", "1984-13-1", "1.2.1899", "25/12/2100", "4.1.2.1984", "1.2.1984.7", "1/2/3/1984", "1984-2-9-1"])
+def test_what_is_no_date_stays(spark, text):
+    assert pii.pseudonymize(spark.createDataFrame([(text,)], "text string"), KEY).first()[0] == text
