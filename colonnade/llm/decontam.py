@@ -1,143 +1,249 @@
 """Benchmark decontamination by training suffix arrays.
 
-Every shard of the documents (an Arrow batch of whole texts) gets a suffix array over its words,
-in which all suffixes of the test items are found by binary search. A neighbour's common prefix is
-the suffix's longest verbatim match in the shard; the run of suffixes that share a whole window
-are the window's places. The array is sparse: a suffix enters only if its first words occur as a
-run in some test item, as no other can match a window. Suffixes end with their document.
-
-The test items are the stated query set. They go to the tasks in blocks of at most
-``block_bytes`` of text, whatever the size of their table; hits of all blocks are merged by
-doc_id and the text's digest, so rows that share a doc_id, or have none, stay rows of their own.
+Every shard of the documents (whole texts of some ``SHARD_BYTES``, a longer text alone) gets a suffix
+array over its words by prefix doubling, independent of the test items. Every suffix of a test item that
+has a whole window is then searched for in it, by binary search on one more word at a time. The range of
+suffixes that share the window are the window's places in the shard; the search goes on to the suffix's
+longest verbatim match, and neighbouring windows' places give the longest match of each document.
+
+The test items are the stated query set. They are read in blocks of at most ``block_bytes`` of text,
+one at a time on the driver, and all blocks are searched in the one array of a shard. If their table
+is beyond ``pass_bytes``, the rows flow through several such steps within the same task, each of
+which adds its hits to the row's; nothing is joined or shuffled, so rows that share a doc_id, or have none, stay
+rows of their own whatever the size of the table.
 
 Edge cases: null texts have no words; items without words never occur; items shorter than a
-window are one window; repeated rows are each judged, repeated items count once.
+window are one window; repeated rows are each judged, repeated items count once; an item without
+an id has the empty one; very long texts are a shard of their own; an empty table gives no row.
 """
 
 from __future__ import annotations
 
-import bisect
-from functools import reduce
-from itertools import chain
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import map_rows, ready
+from .encode import blocks as text_blocks
 from .text import as_bytes
 
 #: A-Z to a-z; other ASCII but letters and digits separates words; beyond ASCII all are letters.
 _TABLE = bytes((i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or 48 <= i <= 57 or i > 127 else 32) for i in range(256))
-HEAD = 3
+SHARD_BYTES = 4 << 20
+STRIDE = 64
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-class TestSet:
-    """The windows of a block of items; word ids are ranks in its vocabulary, 0 is foreign."""
+class TestBlock:
+    """Distinct texts of items as words of one vocabulary, and the suffixes to search for."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
-        self.window = window
-        own = [("" if i is None else str(i), w) for i, w in ((i, words(t)) for i, t in items) if w]
-        self.vocab = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in own for w in ws}))}
-        #: Items as word ids, four bytes each, big-endian: their order is that of the bytes.
-        self.items = [(i, b"".join(self.vocab[w].to_bytes(4, "big") for w in ws)) for i, ws in own]
-        #: Distinct windows with the items that have them; a short item is one window.
-        self.wins: dict[bytes, tuple[str, ...]] = {}
-        for i, raw in self.items:
-            for at in self.starts(raw):
-                key = raw[at : at + 4 * window]
-                have = self.wins.get(key, ())
-                if i not in have:
-                    self.wins[key] = (*have, i)
-        self.heads: dict[int, set[bytes]] = {}
-        for key in self.wins:
-            n = min(HEAD, len(key) // 4)
-            self.heads.setdefault(n, set()).add(key[: 4 * n])
-        self.sorted_wins = sorted(self.wins)
-
-    def starts(self, raw: bytes) -> range:
-        """Where an item's windows begin, in bytes."""
-        return range(0, max(len(raw) - 4 * self.window, 0) + 1, 4)
-
-
-def suffix_array(texts: list[list[bytes]], tests: TestSet) -> tuple[list[bytes], list[tuple[int, int]], dict[int, bytes]]:
-    """Suffixes sorted by their words up to a window's length, their places, and the texts' word ids.
-
-    Matches longer than a window are followed in the texts themselves, so a suffix takes no
-    more room than a window whatever the length of texts and items.
-    """
-    get, found, coded = tests.vocab.get, [], {}
-    heads = [(4 * n, h) for n, h in tests.heads.items()]
-    least = min(tests.heads, default=0)
-    most = 4 * tests.window
-    for d, ws in enumerate(texts if heads else []):
-        ids = np.fromiter((get(w, 0) for w in ws), ">u4", len(ws))
-        ok = ids != 0
-        run = ok.copy()
-        for k in range(1, least):  # a head has no foreign word
-            run[: max(len(run) - k, 0)] &= ok[k:]
-            run[max(len(run) - k, 0) :] = False
-        starts = np.flatnonzero(run)
-        if not len(starts):
-            continue
-        raw = ids.tobytes()
-        for p in starts.tolist():
-            if any(raw[4 * p : 4 * p + n] in h for n, h in heads):
-                found.append((raw[4 * p : 4 * p + most], d, p))
-                coded[d] = raw
-    found.sort()
-    return [s for s, _, _ in found], [(d, p) for _, d, p in found], coded
-
-
-def _above(prefix: bytes) -> bytes:
-    """The least key after all that begin with prefix."""
-    return (int.from_bytes(prefix, "big") + 1).to_bytes(len(prefix), "big")
-
-
-def _range(array: list[bytes], key: bytes) -> tuple[int, int]:
-    """The run of suffixes that begin with key."""
-    lo = bisect.bisect_left(array, key)
-    if lo == len(array) or not array[lo].startswith(key):
-        return 0, 0
-    return lo, bisect.bisect_left(array, _above(key), lo)
-
-
-def window_hits(texts: list[list[bytes]], tests: TestSet) -> dict[int, tuple[list[tuple[int, int]], set[str]]]:
-    """By document: spans of words under a window, and the items whose windows occur."""
-    array, places, _ = suffix_array(texts, tests)
-    hits: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
-    for key in tests.sorted_wins if array else ():
-        for d, p in places[slice(*_range(array, key))]:
-            spans, items = hits.setdefault(d, ([], set()))
-            spans.append((p, p + len(key) // 4))
-            items.update(tests.wins[key])
-    return hits
-
-
-def longest_matches(texts: list[list[bytes]], tests: TestSet) -> list[tuple[int, int, int, str, int]]:
-    """(document, its word, length, item, its word) of each test suffix's longest matches of a window or more."""
-    array, places, coded = suffix_array(texts, tests)
-    out = []
-    for item, raw in tests.items if array else ():
-        for at in tests.starts(raw):
-            key = raw[at : at + 4 * tests.window]
-            found = []
-            for d, p in places[slice(*_range(array, key))]:
-                text, n = coded[d], len(key)
-                while text[4 * p + n : 4 * p + n + 4] == raw[at + n : at + n + 4] != b"":
-                    n += 4
-                found.append((n // 4, d, p))
-            best = max(found)[0] if found else 0
-            out.extend((d, p, n, item, at // 4) for n, d, p in found if n == best)
-    return out
-
-
-def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        ids_of: dict[tuple[bytes, ...], set[str]] = {}
+        for i, text in items:
+            if ws := words(text):
+                ids_of.setdefault(tuple(ws), set()).add("" if i is None else str(i))
+        vocab: dict[bytes, int] = defaultdict(count().__next__)
+        #: Of each distinct text, the sorted ids of the items that have it.
+        self.names = [sorted(own) for own in ids_of.values()]
+        self.rank = np.argsort(np.argsort(np.array([n[0] for n in self.names], object), kind="stable"), kind="stable") if self.names else np.empty(0, np.int64)
+        sizes = np.array([len(ws) for ws in ids_of], np.int64)
+        self.ids = np.array([vocab[w] for ws in ids_of for w in ws] + [0] * STRIDE, np.int64)
+        self.vocab = list(vocab)
+        ends = np.cumsum(sizes)
+        need = np.minimum(sizes, window)
+        n = sizes - need + 1
+        #: Of each suffix with a whole window: its text, its place in ids and in the text, its window's and its own length.
+        self.text = np.repeat(np.arange(len(sizes)), n)
+        self.word = np.arange(len(self.text)) - np.repeat(np.cumsum(n) - n, n)
+        self.at = np.repeat(ends - sizes, n) + self.word
+        self.need, self.size = np.repeat(need, n), np.repeat(ends, n) - self.at
+
+
+class Shard:
+    """The suffix array of some texts' words. Word ids are those of first occurrence; 0 ends a text."""
+
+    def __init__(self, texts: list[list[bytes]]):
+        self.vocab: dict[bytes, int] = defaultdict(count(1).__next__)
+        self.sizes = np.array([len(ws) for ws in texts], np.int64)
+        self.first = np.cumsum(self.sizes + 1) - self.sizes - 1  # a text's first word
+        n = int(self.sizes.sum() + len(texts))
+        self.ids = np.zeros(n + 2 * STRIDE, np.int64)
+        get = self.vocab.__getitem__
+        for ws, at in zip(texts, self.first.tolist()):
+            self.ids[at : at + len(ws)] = np.fromiter(map(get, ws), np.int64, len(ws))
+        self.n = n
+        counts = np.bincount(self.ids[:n], minlength=len(self.vocab) + 1)
+        #: Suffixes that begin with word w are starts[w] to starts[w + 1] of the array.
+        self.starts = np.concatenate([[0], np.cumsum(counts)])
+        self.array = self._sorted(int(self.sizes.max(initial=0))) if n else np.empty(0, np.int64)
+
+    def _sorted(self, longest: int) -> np.ndarray:
+        """Prefix doubling: a rank is the first place of all suffixes that agree so far; only tied ones are sorted again."""
+        n, bits = self.n, len(self.vocab).bit_length() or 1
+        k = 63 // bits  # as many words as fit are sorted at once
+        key = np.zeros(n, np.int64)
+        for j in range(k):
+            key = key << bits | self.ids[j : n + j]
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        rank = np.empty(n, np.int64)
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        tied = order[~(new & np.concatenate([new[1:], [True]]))]
+        tied = tied[self.ids[tied] > 0]
+        while len(tied) and k <= longest:
+            old = rank[tied]
+            after = tied + k
+            key = old * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+            order = np.argsort(key)
+            tied, key, old = tied[order], key[order], old[order]
+            place = np.arange(len(tied))
+            new_group = np.concatenate([[True], old[1:] != old[:-1]])
+            new_key = np.concatenate([[True], key[1:] != key[:-1]])
+            rank[tied] = old + np.maximum.accumulate(np.where(new_key, place, 0)) - np.maximum.accumulate(np.where(new_group, place, 0))
+            alone = new_key & np.concatenate([new_key[1:], [True]])
+            tied = tied[~alone]
+            k *= 2
+        return np.argsort(rank, kind="stable")
+
+    def search(self, block: TestBlock) -> tuple[np.ndarray, ...]:
+        """Of each suffix of the block: the ranges that share its window (lo, hi) and its longest match (lo, hi, length).
+
+        A suffix without its window in the shard has empty ranges.
+        """
+        own = np.fromiter((self.vocab.get(w, -1) for w in block.vocab), np.int64, len(block.vocab))
+        ids = np.concatenate([own[block.ids[:-STRIDE]], np.full(STRIDE, -1)])
+        m = len(block.at)
+        lo, hi, depth = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int64)
+        window_lo, window_hi = np.zeros(m, np.int64), np.zeros(m, np.int64)
+        head = ids[block.at]
+        ok = head > 0
+        lo[ok], hi[ok], depth[ok] = self.starts[head[ok]], self.starts[head[ok] + 1], 1
+        done = lambda q: (depth[q] == block.need[q]) & (window_hi[q] == 0)
+        live = np.flatnonzero(ok)
+        at_window = live[done(live)]
+        window_lo[at_window], window_hi[at_window] = lo[at_window], hi[at_window]
+        live = live[depth[live] < block.size[live]]
+        stride = np.arange(STRIDE)
+        while len(live):
+            # As many words as the range's first and last suffix share with the query, all in it share.
+            before = np.where(window_hi[live] == 0, block.need[live] - depth[live], STRIDE)
+            most = np.minimum(np.minimum(block.size[live] - depth[live], before), STRIDE)
+            want = ids[(block.at[live] + depth[live])[:, None] + stride]
+            same = np.ones(len(live), bool)[:, None] & (stride < most[:, None])
+            for end in (self.array[lo[live]], self.array[hi[live] - 1]):
+                same &= self.ids[np.minimum(end + depth[live], self.n)[:, None] + stride] == want
+            step = np.logical_and.accumulate(same, axis=1).sum(axis=1)
+            depth[live] += step
+            stuck = live[step == 0]
+            if len(stuck):
+                q = ids[block.at[stuck] + depth[stuck]]
+                a = self._bound(lo[stuck], hi[stuck], depth[stuck], q)
+                b = self._bound(a, hi[stuck], depth[stuck], q + 1)
+                found = (b > a) & (q > 0)
+                moved = stuck[found]
+                lo[moved], hi[moved] = a[found], b[found]
+                depth[moved] += 1
+                ended = np.zeros(m, bool)
+                ended[stuck[~found]] = True
+                live = live[~ended[live]]
+            at_window = live[done(live)]
+            window_lo[at_window], window_hi[at_window] = lo[at_window], hi[at_window]
+            live = live[depth[live] < block.size[live]]
+        short = window_hi == 0
+        lo[short] = hi[short] = depth[short] = 0
+        return window_lo, window_hi, lo, hi, depth
+
+    def _bound(self, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The first of the suffixes lo to hi whose word at depth isn't below word."""
+        a, b = lo.copy(), hi.copy()
+        while True:
+            at = np.flatnonzero(a < b)
+            if not len(at):
+                return a
+            mid = (a[at] + b[at]) >> 1
+            less = self.ids[self.array[mid] + depth[at]] < word[at]
+            a[at] = np.where(less, mid + 1, a[at])
+            b[at] = np.where(less, b[at], mid)
+
+    def places(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All suffixes of many ranges: which range, and where in ids."""
+        n = hi - lo
+        which = np.repeat(np.arange(len(n)), n)
+        return which, self.array[np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+
+    def whose(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, at, side="right") - 1
+
+
+def _longest(shard: Shard, block: TestBlock, q: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, str, int]]:
+    """(text, its word, length, item, its word) of each text's longest match, ties by these; q, at: the windows' places."""
+    text, word, need = block.text[q], block.word[q], block.need[q]
+    order = np.lexsort((at, at - word, text))
+    text, word, need, at = text[order], word[order], need[order], at[order]
+    # Neighbouring windows of one item at neighbouring places are one match.
+    begins = np.concatenate([[True], (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1) | (word[1:] != word[:-1] + 1)])
+    starts = np.flatnonzero(begins)
+    length = need[starts] + np.diff(np.concatenate([starts, [len(at)]])) - 1
+    doc, begin, item, item_word = shard.whose(at[starts]), at[starts], text[starts], word[starts]
+    order = np.lexsort((item_word, block.rank[item], begin, -length, doc))
+    best = order[np.concatenate([[True], doc[order][1:] != doc[order][:-1]])]
+    return [(int(doc[k]), int(begin[k] - shard.first[doc[k]]), int(length[k]), block.names[item[k]][0], int(item_word[k])) for k in best]
+
+
+class Hits:
+    """What a shard's texts have of the test items, over all blocks."""
+
+    def __init__(self, shard: Shard):
+        self.shard = shard
+        self.cover = np.zeros(shard.n + 1, np.int64)  # +1 where a window begins, -1 behind its end
+        self.items: dict[int, set[str]] = {}
+        self.best: dict[int, tuple[int, int, str, int]] = {}
+
+    def add(self, block: TestBlock) -> None:
+        if not len(block.at):
+            return
+        lo, hi, *_ = self.shard.search(block)
+        found = np.flatnonzero(hi > lo)
+        if not len(found):
+            return
+        which, at = self.shard.places(lo[found], hi[found])
+        q = found[which]
+        np.add.at(self.cover, at, 1)
+        np.subtract.at(self.cover, at + block.need[q], 1)
+        n = len(block.names)
+        for pair in np.unique(self.shard.whose(at) * n + block.text[q]).tolist():
+            self.items.setdefault(pair // n, set()).update(block.names[pair % n])
+        for d, a, length, item, b in _longest(self.shard, block, q, at):
+            self.best[d] = better(self.best.get(d), (length, a, item, b))
+
+    def spans(self) -> dict[int, list[tuple[int, int]]]:
+        """Runs of hit words by text; a text's end is never hit, so none goes beyond it."""
+        if not self.items:
+            return {}
+        hit = np.concatenate([[False], np.cumsum(self.cover) > 0])
+        edges = np.flatnonzero(hit[1:] != hit[:-1])
+        out: dict[int, list[tuple[int, int]]] = {}
+        for a, b, d in zip(edges[::2].tolist(), edges[1::2].tolist(), self.shard.whose(edges[::2]).tolist()):
+            first = int(self.shard.first[d])
+            out.setdefault(d, []).append((a - first, b - first))
+        return out
+
+
+def better(one: tuple[int, int, str, int] | None, two: tuple[int, int, str, int] | None) -> tuple[int, int, str, int] | None:
+    """The longer match (length, word, item, its word); of equally long ones that with the lesser rest."""
+    if one is None or two is None:
+        return one or two
+    return min(one, two, key=lambda m: (-m[0], *m[1:]))
+
+
+def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if out and a <= out[-1][1]:
@@ -147,101 +253,114 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _item_blocks(items: DataFrame, block_bytes: int):
-    """The items' texts in blocks of bounded size; a block at a time is on the driver."""
-    sizes = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
-    total = items.agg(F.sum(sizes)).first()[0] or 0
-    n = max(1, -(-int(total) // block_bytes))
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield [(r[0], bytes(r[1] or b"")) for r in part.select("item_id", F.encode("text", "UTF-8")).collect()]
+def _passes(items: DataFrame, window: int, block_bytes: int, pass_bytes: int):
+    """Broadcast blocks of the items, in lists of pass_bytes; a block at a time is on the driver."""
+    sc = ready(items.sparkSession).sparkContext
+    shared, block, held, total = [], [], 0, 0
+    for r in items.select("item_id", F.encode("text", "UTF-8").alias("text")).where("text is not null").distinct().toLocalIterator():
+        size = len(r["text"]) + 16
+        if block and held + size > block_bytes:
+            shared.append(sc.broadcast(TestBlock(block, window)))  # bounded by block_bytes
+            block, held = [], 0
+        if total and total + size > pass_bytes:
+            if block:
+                shared.append(sc.broadcast(TestBlock(block, window)))
+            yield shared
+            shared, block, held, total = [], [], 0, 0
+        block.append((r["item_id"], bytes(r["text"])))
+        held, total = held + size, total + size
+    if block or not total:
+        shared.append(sc.broadcast(TestBlock(block, window)))
+    yield shared
+
+
+def _each(shared: list):
+    """The blocks' values; if there are several, only one is held."""
+    for b in shared:
+        yield b.value
+        if len(shared) > 1:
+            b.__dict__.pop("_value", None)
+
+
+def _hits(texts: list[list[bytes]], shared: list) -> Hits:
+    hits = Hits(Shard(texts))
+    for block in _each(shared):
+        hits.add(block)
+    return hits
+
 
+_SPAN = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+_MATCH = pa.struct([("length", pa.int64()), ("at", pa.int64()), ("item", pa.string()), ("item_at", pa.int64())])
+_STATE = "n_words long, spans array<struct<a:int,b:int>>, items array<string>, best struct<length:long,at:long,item:string,item_at:long>"
 
-_MATCHED = "n_words long, spans array<struct<a:int,b:int>>, items array<string>, digest binary"
 
+def judge(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, pass_bytes: int = 64 << 20) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, the longest match and the hit spans of each row.
 
-def _scan(docs: DataFrame, tests: TestSet, id_col: str, text_col: str, digests: bool) -> DataFrame:
-    """doc_id, n_words, spans, items of each row; digest is the text's hash, null without digests."""
+    longest: words of the longest verbatim match, 0 without one; longest_at, longest_item and longest_item_at: where it
+    begins, in words from 0, and in which item (null without one).
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    spark = ready(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(tests)  # bounded by block_bytes
-
-    def run(batches):
-        own = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                raw = as_bytes(part.column("text"))
-                texts = [words(t) for t in raw]
-                hits = window_hits(texts, own)
-                spans = [[{"a": a, "b": b} for a, b in _merge(hits[i][0])] if i in hits else [] for i in range(len(texts))]
-                found = [sorted(hits[i][1]) if i in hits else [] for i in range(len(texts))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(found, pa.list_(pa.string())), pa.array([xxhash.xxh3_128_digest(t) if digests else None for t in raw], pa.binary())], names=["doc_id", "n_words", "spans", "items", "digest"])
-
-    return rows.mapInArrow(run, f"doc_id {kind}, {_MATCHED}")
-
-
-def judge(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the hit spans of each document."""
-    items = items.select("item_id", "text")
-    blocks = _item_blocks(items, block_bytes)
-    block, later = next(blocks), next(blocks, None)
-    found = _scan(docs, TestSet(block, window), id_col, text_col, later is not None)
-    if later is not None:  # spans of several blocks may overlap
-        scans = [found, *(_scan(docs, TestSet(b, window), id_col, text_col, True) for b in chain([later], blocks))]
-        found = _merge_blocks(reduce(DataFrame.unionByName, (s.withColumn("block", F.lit(k)) for k, s in enumerate(scans))))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["b"] - s["a"]))
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans")
-
+    for shared in _passes(items, window, block_bytes, pass_bytes):
+        first = "spans" not in rows.columns
 
-def _merge_blocks(found: DataFrame) -> DataFrame:
-    """The rows of one block's scan, each with the hits of all blocks.
-
-    Rows of one doc_id and one text have equal hits: they are merged once and repeated as often
-    as the first block has them. What is collected is at most one list a block.
-    """
-    hit = lambda c: F.flatten(F.collect_set(F.when(F.size(c) > 0, F.col(c))))
-    rows = found.groupBy("doc_id", "digest").agg(F.max("n_words").alias("n_words"), F.array_sort(hit("spans")).alias("all"), F.array_sort(F.array_distinct(hit("items"))).alias("items"), F.count_if(F.col("block") == 0).cast("int").alias("n_rows"))
-    last = lambda acc: F.element_at(acc, -1)
-    empty = F.array().cast("array<struct<a:int,b:int>>")
-    merged = F.aggregate("all", empty, lambda acc, s: F.when((F.size(acc) > 0) & (s["a"] <= last(acc)["b"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["a"].alias("a"), F.greatest(last(acc)["b"], s["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(s))))
-    merged_rows = rows.select("doc_id", "n_words", merged.alias("spans"), "items", "n_rows")
-    return merged_rows.withColumn("row", F.explode(F.sequence(F.lit(1), "n_rows"))).drop("row", "n_rows")
+        def run(batches, shared=shared, first=first):
+            for batch in batches:
+                for part in text_blocks(batch, "text", SHARD_BYTES):
+                    texts = [words(t) for t in as_bytes(part.column("text"))]
+                    hits = _hits(texts, shared)
+                    own, n = hits.spans(), range(len(texts))
+                    spans, found, best = [own.get(i, []) for i in n], [hits.items.get(i, set()) for i in n], [hits.best.get(i) for i in n]
+                    if not first:
+                        spans = [merge(x + [(s["a"], s["b"]) for s in y]) for x, y in zip(spans, part.column("spans").to_pylist())]
+                        found = [x.union(y) for x, y in zip(found, part.column("items").to_pylist())]
+                        best = [better(x, y and tuple(y.values())) for x, y in zip(best, part.column("best").to_pylist())]
+                    names = ("length", "at", "item", "item_at")
+                    state = [pa.array(map(len, texts), pa.int64()), pa.array([[{"a": a, "b": b} for a, b in x] for x in spans], _SPAN), pa.array(map(sorted, found), pa.list_(pa.string())), pa.array([m and dict(zip(names, m)) for m in best], _MATCH)]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), *state], names=["doc_id", "text", "n_words", "spans", "items", "best"])
+
+        rows = rows.mapInArrow(run, f"doc_id {kind}, text string, {_STATE}")
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["b"] - s["a"]))
+    longest = [F.coalesce("best.length", F.lit(0).cast("long")).alias("longest"), F.col("best.at").alias("longest_at"), F.col("best.item").alias("longest_item"), F.col("best.item_at").alias("longest_item_at")]
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), *longest, "spans")
 
 
-def matches(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
-    """Longest verbatim matches: doc_id, doc_word, length, item_id, item_word."""
+def matches(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, pass_bytes: int = 64 << 20) -> DataFrame:
+    """Each test suffix's longest verbatim matches over all shards: doc_id, doc_word, length, item_id, item_word."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    spark = ready(docs.sparkSession)
     out = None
-    for block in _item_blocks(items.select("item_id", "text"), block_bytes):
-        shared = spark.sparkContext.broadcast(TestSet(block, window))
+    for shared in _passes(items, window, block_bytes, pass_bytes):
 
         def run(batches, shared=shared):
             for batch in batches:
-                found = longest_matches([words(t) for t in as_bytes(batch.column("text"))], shared.value)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([m[0] for m in found], pa.int64())), *(pa.array([m[k] for m in found], t) for k, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.string()), (4, pa.int32())))], names=["doc_id", "doc_word", "length", "item_id", "item_word"])
-
-        one = rows.mapInArrow(run, f"doc_id {kind}, doc_word int, length int, item_id string, item_word int")
+                for part in text_blocks(batch, "text", SHARD_BYTES):
+                    shard = Shard([words(t) for t in as_bytes(part.column("text"))])
+                    for block in _each(shared):
+                        _, _, lo, hi, length = shard.search(block)
+                        which, at = shard.places(lo, hi)
+                        doc = shard.whose(at)
+                        names = [block.names[i] for i in block.text[which]]
+                        each = np.repeat(np.arange(len(at)), [len(x) for x in names]) if names else np.empty(0, np.int64)
+                        yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc[each])), pa.array((at - shard.first[doc])[each]), pa.array(length[which][each]), pa.array([x for own in names for x in own], pa.string()), pa.array(block.word[which][each])], names=["doc_id", "doc_word", "length", "item_id", "item_word"])
+
+        one = rows.mapInArrow(run, f"doc_id {kind}, doc_word long, length long, item_id string, item_word long")
         out = one if out is None else out.unionByName(one)
-    return out
+    most = Window.partitionBy("item_id", "item_word")
+    return out.withColumn("most", F.max("length").over(most)).where("length = most").drop("most")
 
 
-def remove(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+def remove(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", block_bytes: int = 4 << 20, pass_bytes: int = 64 << 20) -> DataFrame:
     """The documents that no window of an item occurs in, with all their columns; nothing is shuffled."""
-    spark = ready(docs.sparkSession)
     at = docs.columns.index(text_col)
-    for block in _item_blocks(items.select("item_id", "text"), block_bytes):
-        shared = spark.sparkContext.broadcast(TestSet(block, window))
+    for shared in _passes(items, window, block_bytes, pass_bytes):
 
         def run(batches, shared=shared):
             for batch in batches:
-                for k in range(0, batch.num_rows, 2000):
-                    part = batch.slice(k, 2000)
-                    hits = window_hits([words(t) for t in as_bytes(part.column(at))], shared.value)
-                    yield part.filter(pa.array([i not in hits for i in range(part.num_rows)], pa.bool_()))
+                for part in text_blocks(batch, at, SHARD_BYTES):
+                    hits = _hits([words(t) for t in as_bytes(part.column(at))], shared)
+                    yield part.filter(pa.array([i not in hits.items for i in range(part.num_rows)], pa.bool_()))
 
         docs = map_rows(docs, run)
     return docs

@@ -169,7 +169,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def blocks(batch: pa.RecordBatch, column: str, most: int = BLOCK_BYTES):
+def blocks(batch: pa.RecordBatch, column: str | int, most: int = BLOCK_BYTES):
     """Slices of the batch whose texts hold about so many bytes, or a single longer text.
 
     After the last one the memory that Arrow keeps for itself is given back.

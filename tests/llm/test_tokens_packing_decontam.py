@@ -117,6 +117,9 @@ def test_crossover_keeps_every_piece():
         island.add(bins)
 
 
+JUDGED = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+
+
 def brute(docs, items, window):
     table = [(str(i), re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for i, t in items]
     out = {}
@@ -141,7 +144,7 @@ def test_decontamination(spark, block_bytes):
     say = lambda n: " ".join(rng.choice(vocab, n))
     items = [(i, say(n)) for i, n in enumerate([12, 15, 2, 1, 7, 30, 11])] + [(10, None), (11, "..."), (12, "zzz yyy xxx www vvv"), (0, "repeat of item one by another text that is long enough")]
     docs = [(i, ", ".join([say(int(rng.integers(0, 60))), items[i % 7][1].upper() if i % 3 else "", say(9)])) for i in range(40)] + [(40, None), (41, ""), (42, "zzz! YYY xxx www vvv"), (43, "zzz yyy xxx www"), (44, items[5][1] + "." + items[5][1])]
-    got = decontam.judge(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), 10, block_bytes=block_bytes).drop("spans").collect()
+    got = decontam.judge(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), 10, block_bytes=block_bytes).select(*JUDGED).collect()
     assert {r[0]: tuple(r[1:]) for r in got} == brute(docs, items, 10)
     kept = decontam.remove(spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, spans int"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes)
     assert kept.columns == ["doc_id", "text", "spans"]
@@ -155,7 +158,7 @@ def test_decontamination_judges_every_row(spark, block_bytes):
     a, b, c = (f"one {items[i][1]} two {items[(i + 3) % 8][1]}" for i in (0, 1, 5))
     texts = [(1, a), (1, b), (1, a), (1, "no hit at all"), (None, a), (None, c), (None, c), (None, None), (None, ""), (2, ""), (3, " ".join(t for _, t in items))]
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
-    got = decontam.judge(docs, spark.createDataFrame(items, "item_id long, text string"), 10, block_bytes=block_bytes).drop("spans").collect()
+    got = decontam.judge(docs, spark.createDataFrame(items, "item_id long, text string"), 10, block_bytes=block_bytes).select(*JUDGED).collect()
     want = [(d, *brute([(d, t)], items, 10)[d]) for d, t in texts]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
