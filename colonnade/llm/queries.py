@@ -109,21 +109,21 @@ from n join reach r on r.doc_id = n.doc_id group by 1, 2"""
 #: All windows of items joined to all windows of documents of the same length; windows in a row are a longer match.
 OP10_SQL = """
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from documents),
-b as (select row_number() over () as row, item_id::varchar as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from benchmark),
-bn as (select row, item, ws, least(10, len(ws)) as n from b where len(ws) > 0),
-bi as (select row, item, ws, n, unnest(range(1, len(ws) - n + 2)) as j from bn),
-iw as (select row, item, j, n, array_to_string(ws[j:j + n - 1], ' ') as w from bi),
+b as (select row_number() over () as rid, item_id::varchar as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from benchmark),
+bn as (select rid, item, ws, least(10, len(ws)) as n from b where len(ws) > 0),
+bi as (select rid, item, ws, n, unnest(range(1, len(ws) - n + 2)) as j from bn),
+iw as (select rid, item, j, n, array_to_string(ws[j:j + n - 1], ' ') as w from bi),
 sizes as (select distinct n from bn),
 di as (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i from d, sizes where len(ws) >= n),
-h as (select di.doc_id, iw.row, iw.item, di.i, iw.j, di.n from di join iw on iw.n = di.n and iw.w = array_to_string(di.ws[di.i:di.i + di.n - 1], ' ')),
+h as (select di.doc_id, iw.rid, iw.item, di.i, iw.j, di.n from di join iw on iw.n = di.n and iw.w = array_to_string(di.ws[di.i:di.i + di.n - 1], ' ')),
 places as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from h) group by 1),
 items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as all_items from (select distinct doc_id, item from h) group by 1),
-runs as (select doc_id, item, row, n, i, j, i - row_number() over (partition by doc_id, row, i - j order by i) as run from h),
-long as (select doc_id, item, n + count(*) - 1 as longest, min(i) - 1 as at, min(j) - 1 as item_at from runs group by doc_id, item, row, n, i - j, run),
-best as (select * from long qualify row_number() over (partition by doc_id order by longest desc, at, item, item_at) = 1)
+runs as (select doc_id, item, rid, n, i, j, i - row_number() over (partition by doc_id, rid, i - j order by i) as run from h),
+long as (select doc_id, item, n + count(*) - 1 as longest, min(i) - 1 as pos, min(j) - 1 as item_at from runs group by doc_id, item, rid, n, i - j, run),
+best as (select * from long qualify row_number() over (partition by doc_id order by longest desc, pos, item, item_at) = 1)
 select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
   sha256(coalesce(all_items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(longest, 0)::bigint as longest,
-  at::bigint as longest_at, best.item as longest_item, item_at::bigint as longest_item_at
+  pos::bigint as longest_at, best.item as longest_item, item_at::bigint as longest_item_at
 from d left join places using (doc_id) left join items using (doc_id) left join best using (doc_id)"""
 
 ORACLES: dict[str, str] = {
