@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
-from ..store import materialize, new_path, ready, shared_dir
+from ..store import materialize, new_path, ready, scratch, shared_dir
 
-__all__ = ["free_name", "map_rows", "materialize", "new_path", "ready", "shared_dir"]
+__all__ = ["free_name", "map_rows", "materialize", "new_path", "ready", "scratch", "shared_dir"]
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -21,8 +21,9 @@ def connected_components(edges: DataFrame, name: str = "components", rounds: int
     A large star links each greater neighbour of a node to the least node around it, a small star
     each smaller one; both keep the components and end in one star a component, after a number of rounds that
     grows with the logarithm of the size. The state is a written table after each round, so
-    nothing is gathered and a lost executor costs no earlier round. A node's neighbours are only
-    ever aggregated to their minimum, so a hub isn't held in one place either.
+    nothing is gathered and a lost executor costs no earlier round. A node's neighbours are
+    aggregated to their minimum, map-side first, and that one row is joined to its edges; a hub's edges
+    are one key of this join, whose larger side is split where it's skewed (AQE), and are streamed, not held.
     """
     edges = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     mark = _mark(edges)

@@ -2,14 +2,17 @@
 
 1. Each text's set of hashed word shingles gives a digest and, by ``bands * rows`` permutations,
    minima. Whole minima of a band make its bucket; the signature keeps only the low ``bits`` bits
-   of each minimum, packed into bytes. Texts of one digest are represented by one node.
-2. In a bucket, pairs of nodes are compared by signature: equal low bits are counted on the packed
-   bytes, and the share is corrected for the 2**-bits of them that agree by chance. Pairs whose sizes
+   of each minimum, packed plane by plane into 64-bit words. Texts of one digest are represented by one node.
+2. Buckets are counted and joined as (bucket, node) alone; signatures are fetched for nodes that share one.
+   In a bucket, pairs of nodes are compared by signature: planes are XORed and ORed, set bits counted, and the share
+   of equal minima is corrected for the 2**-bits of them that agree by chance. Pairs whose sizes
    allow the similarity and whose estimate is at most ``slack`` below it are candidates; a bucket
    emits a spanning forest of them, never all pairs. A bucket too large for that is linked as it
    is, by a star: what belongs together stays together, and the next steps sort it out.
 3. Candidates' connected components (alternating large and small stars) are clusters. The texts of
-   their members alone are read again, and each cluster's sets are compared exactly. Pairs are skipped
+   their members alone are read again: a Bloom filter of their ids, a table of at most ``FILTER_WORDS`` words,
+   picks them in the scan, so no other text is shuffled. Each cluster's sets are compared exactly, as rows of bits over
+   the shingles that at least two of them have. Pairs are skipped
    if already connected or if sizes or signatures rule them out. A cluster with more shingles than
    ``cluster_shingles`` is cut into blocks: nodes are compared within blocks, then the
    representatives of the components found, then what isn't in the largest component with all else.
@@ -31,14 +34,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StructField
 
-from .common import free_name, map_rows, materialize, ready
+from .common import free_name, map_rows, materialize, ready, scratch
 from .components import connected_components
 from .text import as_bytes, shingles
 
-BANDS, ROWS, BITS = 24, 5, 8
+BANDS, ROWS, BITS = 24, 5, 4
+#: 64-bit words of the Bloom filter of the ids whose texts are read again: what of it is broadcast is at most some 32 MB.
+FILTER_WORDS = 1 << 20
+#: Bytes of a cluster's rows of bits; sets that would need more are compared one by one.
+BIT_ROWS_BYTES = 64 << 20
 #: What deduplicate takes for near, in percent, and the bands for it.
 STAGE_PERCENT, STAGE_BANDS = 80, 36
 
@@ -61,23 +68,24 @@ def minima(sets: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signature(least: np.ndarray, bits: int = BITS) -> bytes:
-    """The low bits of each minimum, packed."""
-    low = (least & np.uint32((1 << bits) - 1)).astype(np.uint8)
-    if bits == 8:
-        return low.tobytes()
-    return np.packbits(np.unpackbits(low[:, None], axis=1)[:, 8 - bits :].ravel()).tobytes()
+    """The low bits of each minimum: plane by plane, each in whole 64-bit words."""
+    out = np.zeros((bits, -(-len(least) // 64) * 8), np.uint8)
+    for j in range(bits):
+        plane = np.packbits((least >> np.uint32(j)).astype(np.uint8) & 1)
+        out[j, : len(plane)] = plane
+    return out.tobytes()
 
 
-def estimates(one: np.ndarray, many: np.ndarray, n: int, bits: int = BITS) -> np.ndarray:
-    """Similarities of a packed signature to others, corrected for chance collisions."""
-    differ = one[None, :] ^ many
-    if bits == 8:
-        equal = (differ == 0).sum(axis=1)
-    else:
-        split = np.unpackbits(differ, axis=1)[:, : n * bits].reshape(len(many), n, bits)
-        equal = (~split.any(axis=2)).sum(axis=1)
-    chance = 2.0**-bits
-    return (equal / n - chance) / (1 - chance)
+def unpacked(sigs: list[bytes], bits: int = BITS) -> np.ndarray:
+    """Signatures as words: one row each, by plane."""
+    return np.frombuffer(b"".join(sigs), np.uint64).reshape(len(sigs), bits, -1)
+
+
+def estimates(one: np.ndarray, many: np.ndarray, n: int) -> np.ndarray:
+    """Similarities of a signature to others by the bits that differ, corrected for chance collisions."""
+    differ = np.bitwise_count(np.bitwise_or.reduce(many ^ one, axis=1)).sum(axis=1, dtype=np.int64)
+    chance = 2.0 ** -one.shape[0]
+    return ((n - differ) / n - chance) / (1 - chance)
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -105,6 +113,15 @@ def _sketch(docs: DataFrame, width: int, bands: int, rows: int, bits: int) -> Da
     return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, node binary, sig binary, buckets array<long>")
 
 
+def _unite(root: np.ndarray, i: int, near: np.ndarray) -> list[int]:
+    """One of near for each component that isn't i's; all become i's."""
+    roots, first = np.unique(root[near], return_index=True)
+    found = near[first[roots != root[i]]].tolist()
+    for j in found:
+        root[root == root[j]] = root[i]
+    return found
+
+
 def _forest(n_perms: int, bits: int, percent: int, slack: float):
     """Spanning forests of the candidate graphs of many small buckets, given sorted by bucket."""
     floor = percent / 100 - slack
@@ -114,18 +131,14 @@ def _forest(n_perms: int, bits: int, percent: int, slack: float):
         for i in range(len(nodes) - 1):
             rest = np.arange(i + 1, len(nodes))
             rest = rest[(root[rest] != root[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))]
-            if not len(rest):
-                continue
-            for j in rest[estimates(sigs[i], sigs[rest], n_perms, bits) >= floor].tolist():
-                if root[i] != root[j]:
-                    root[root == root[j]] = root[i]
-                    out.append((nodes[i], nodes[j]))
+            if len(rest):
+                out.extend((nodes[i], nodes[j]) for j in _unite(root, i, rest[estimates(sigs[i], sigs[rest], n_perms) >= floor]))
 
     def run(batches):
         for batch in batches:
             out: list[tuple[bytes, bytes]] = []
             for members in batch.column("members").to_pylist():
-                one([m["node"] for m in members], np.array([m["n_shingles"] for m in members]), np.frombuffer(b"".join(m["sig"] for m in members), np.uint8).reshape(len(members), -1), out)
+                one([m["node"] for m in members], np.array([m["n_shingles"] for m in members]), unpacked([m["sig"] for m in members], bits), out)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
 
     return run
@@ -133,32 +146,54 @@ def _forest(n_perms: int, bits: int, percent: int, slack: float):
 
 def _candidates(nodes: DataFrame, n_perms: int, bits: int, percent: int, slack: float, bucket_nodes: int) -> DataFrame:
     """Edges a, b whose components hold every candidate pair."""
-    each = nodes.select("node", "n_shingles", "sig", F.explode("buckets").alias("bucket"))
+    each = nodes.select("node", F.explode("buckets").alias("bucket"))
     sizes = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
     shared = materialize(each.join(sizes, "bucket"), "buckets")
-    small = shared.where(F.col("n") <= bucket_nodes).groupBy("bucket").agg(F.collect_list(F.struct("node", "n_shingles", "sig")).alias("members"))
+    small = shared.where(F.col("n") <= bucket_nodes).select("bucket", "node").join(nodes.select("node", "n_shingles", "sig"), "node")
+    small = small.groupBy("bucket").agg(F.collect_list(F.struct("node", "n_shingles", "sig")).alias("members"))
     forest = small.select("members").mapInArrow(_forest(n_perms, bits, percent, slack), "a binary, b binary")
     stars = shared.where((F.col("n") > bucket_nodes) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     return forest.unionByName(stars).distinct()
 
 
+def bit_rows(sets: list[np.ndarray], most: int = BIT_ROWS_BYTES) -> np.ndarray | None:
+    """Sets as rows of bits over the members that more than one of them has; None if that takes too many bytes."""
+    sizes = np.array([len(s) for s in sets])
+    found, code, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    width = -(-int((seen > 1).sum()) // 64)
+    if len(sets) * width * 8 > most:
+        return None
+    place = np.cumsum(seen > 1) - 1
+    at = np.flatnonzero(seen[code] > 1)
+    bit, row = place[code[at]], np.repeat(np.arange(len(sets)), sizes)[at]
+    rows = np.zeros((len(sets), width), np.uint64)
+    np.bitwise_or.at(rows, (row, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return rows
+
+
 def _same(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _links(nodes: list[bytes], sets: list[np.ndarray], sigs: np.ndarray, root: np.ndarray, left: np.ndarray, right: np.ndarray | None, percent: int, floor: float, n_perms: int, bits: int) -> list[tuple[bytes, bytes]]:
+def _links(nodes: list[bytes], sets: list[np.ndarray], sigs: np.ndarray, root: np.ndarray, left: np.ndarray, right: np.ndarray | None, percent: int, floor: float, n_perms: int) -> list[tuple[bytes, bytes]]:
     """A spanning forest of the exact similarity graph, within left or between left and right.
 
     root tells what is connected already: nodes of equal roots aren't compared.
     """
-    sizes, out = np.array([len(s) for s in sets]), []
+    sizes, out, rows = np.array([len(s) for s in sets]), [], bit_rows(sets)
     for at, i in enumerate(left.tolist()):
         rest = left[at + 1 :] if right is None else right
         rest = rest[(root[rest] != root[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))]
         if not len(rest):
             continue
-        near = estimates(sigs[i], sigs[rest], n_perms, bits)
+        near = estimates(sigs[i], sigs[rest], n_perms)
+        if rows is not None:
+            rest = rest[near >= floor]
+            both = np.bitwise_count(rows[rest] & rows[i]).sum(axis=1, dtype=np.int64)
+            rest = rest[100 * both >= percent * (sizes[rest] + sizes[i] - both)]
+            out.extend((nodes[i], nodes[j]) for j in _unite(root, i, rest))
+            continue
         order = np.argsort(-near, kind="stable")
         for j in rest[order[: int((near >= floor).sum())]].tolist():
             if root[i] != root[j] and _same(sets[i], sets[j], percent):
@@ -180,10 +215,10 @@ def _confirmed(tasks: DataFrame, percent: int, floor: float, n_perms: int, bits:
         known: dict[bytes, int] = {}
         root = np.array([known.setdefault(x, len(known)) for x in rows["label"]])
         sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
-        sigs = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(nodes), -1)
+        sigs = unpacked(rows["sig"].tolist(), bits)
         at = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
         across = bool(rows["across"].iloc[0])
-        found = [] if across and not (len(at[0]) and len(at[1])) else _links(nodes, sets, sigs, root, at[0], at[1] if across else None, percent, floor, n_perms, bits)
+        found = [] if across and not (len(at[0]) and len(at[1])) else _links(nodes, sets, sigs, root, at[0], at[1] if across else None, percent, floor, n_perms)
         return pd.DataFrame(found, columns=["a", "b"])
 
     return tasks.groupBy("component", "x", "y").applyInPandas(run, "a binary, b binary")
@@ -235,10 +270,13 @@ def _large(rows: DataFrame, inner: DataFrame, limit: int, *how) -> DataFrame:
     return first.unionByName(_confirmed(left.select(*_TASK).unionByName(right.select(*_TASK)), *how))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, bands: int = BANDS, rows: int = ROWS, bits: int = BITS, slack: float = 0.17, bucket_nodes: int = 256, cluster_shingles: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", with_node: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, bands: int = BANDS, rows: int = ROWS, bits: int = BITS, slack: float = 0.17, bucket_nodes: int = 1024, cluster_shingles: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", with_node: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, one row for each row of docs; and node, the digest of its set."""
-    ready(docs.sparkSession)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    with scratch(ready(docs.sparkSession)) as keep:
+        return keep(_near(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), percent, width, bands, rows, bits, slack, bucket_nodes, cluster_shingles, with_node), "near")
+
+
+def _near(texts: DataFrame, percent: int, width: int, bands: int, rows: int, bits: int, slack: float, bucket_nodes: int, cluster_shingles: int, with_node: bool) -> DataFrame:
     sketched = materialize(_sketch(texts, width, bands, rows, bits), "sketch")
     nodes = sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("buckets").alias("buckets"))
     nodes = materialize(nodes, "nodes")
@@ -257,7 +295,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, bands: i
         inner = materialize(_confirmed(_within(rows_of), *how), "inner-links")
         links = links.unionByName(inner).unionByName(_large(rows_of, inner, cluster_shingles, *how))
     linked = connected_components(links, "linked")
-    heads = nodes.select("node", "least").join(linked, "node").withColumn("head", F.min("least").over(Window.partitionBy("component"))).select("node", "head")
+    least = nodes.select("node", "least").join(linked, "node").groupBy("component").agg(F.min("least").alias("head"))
+    heads = linked.join(least, "component").select("node", "head")
     told = nodes.select("node", "least").join(heads, "node", "left").select("node", F.coalesce("head", "least").alias("head"))
     out = sketched.select("doc_id", "n_shingles", "node").join(told, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("head"))
@@ -303,11 +342,24 @@ def _sets(texts: DataFrame, members: DataFrame, width: int) -> DataFrame:
         anonymous = texts.where("doc_id is null").select("text", F.lit(None).cast("binary").alias("node"))
         found = _shingled(anonymous, width).dropDuplicates(["node"]).join(members.where("least is null").drop("least"), "node")
         return _sets(texts, members.where("least is not null"), width).unionByName(found)
-    rows = texts.join(members.withColumnRenamed("least", "doc_id"), "doc_id")
+    rows = _may_be_among(texts, members.select(F.col("least").alias("doc_id"))).join(members.withColumnRenamed("least", "doc_id"), "doc_id")
     extra = ["sig", "component", "parts"]
     return _shingled(rows.select("text", "node", *extra), width, extra)
 
 
+def _may_be_among(texts: DataFrame, ids: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
+    """The rows whose doc_id is among ids, and a few others: a Bloom filter, as a table of words, within the scan.
+
+    The table is broadcast and has at most ``words`` rows however many ids there are; beyond some 10 million ids it
+    lets ever more other rows pass, and the join that follows is still exact.
+    """
+    hashed = F.xxhash64("doc_id", F.lit(11))
+    word, bit = F.pmod(F.shiftrightunsigned(hashed, 6), F.lit(words)).alias("filter_word"), F.expr("shiftleft(1L, cast(xxhash64(doc_id, 11) & 63 as int))")
+    table = ids.select(word, bit.alias("bit")).groupBy("filter_word").agg(F.bit_or("bit").alias("filter_bits"))
+    rows = texts.select("doc_id", "text", word).join(F.broadcast(table), "filter_word")
+    return rows.where(F.col("filter_bits").bitwiseAND(bit) != 0).select("doc_id", "text")
+
+
 def _shingled(rows: DataFrame, width: int, extra: list[str] = []) -> DataFrame:
     """node and shingles of each text, where node isn't another one's; and extra columns."""
 

@@ -99,8 +99,8 @@ def test_estimates_are_corrected_for_collisions(bits):
     x = rng.integers(0, 2**63, 3000).astype(np.uint64)
     for both in (0, 1500, 2700):
         y = np.concatenate([x[:both], rng.integers(0, 2**63, 3000 - both).astype(np.uint64)])
-        one, two = (np.frombuffer(minhash.signature(minhash.minima(np.sort(s), a, b), bits), np.uint8) for s in (x, y))
-        assert abs(minhash.estimates(one, two[None, :], 960, bits)[0] - both / (6000 - both)) < 0.12
+        one, two = (minhash.unpacked([minhash.signature(minhash.minima(np.sort(s), a, b), bits)], bits) for s in (x, y))
+        assert abs(minhash.estimates(one[0], two, 960)[0] - both / (6000 - both)) < 0.12
 
 
 def test_components_of_a_path_and_a_hub(spark):
