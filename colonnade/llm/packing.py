@@ -5,9 +5,10 @@
 2. The rest is dealt by a hash of their place to shards of about ``shard_pieces`` pieces, so a
    task's memory is bounded whatever the corpus holds; only lengths are shuffled.
 3. Each shard is evolved on ``islands`` islands, every one a group of its own. An individual is a
-   list of sequences. Crossover injects whole well-filled sequences of one parent into another,
-   drops the sequences that then hold a piece twice, and best-fits the displaced pieces, longest
-   first. After each epoch an island's elite also goes to the next island.
+   list of sequences; the first ones are made by best fit and by filling sequences one by one with the one or two pieces that
+   suit them. Crossover injects the fullest sequences of both parents whole,
+   leaving out those that would hold a piece twice. Displaced pieces replace shorter ones where a sequence gets
+   fuller, and the rest is best-fitted, longest first. After each epoch an island's elite also goes to the next island.
 4. The best island's packing stands. Pieces of sequences filled below ``refill`` are dealt anew
    and packed once more, which closes the gaps at the shards' ends.
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import encode
-from .common import materialize, ready
+from .common import materialize, ready, scratch
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,6 +82,61 @@ def best_fit(sizes: list[int], items: list[int], bins: list[list[int]], room: li
                 bisect.insort(order, room[b])
 
 
+class Loose:
+    """Pieces that are in no bin, by size; finds what fits a room best."""
+
+    def __init__(self, sizes: list[int], items: list[int], capacity: int):
+        self.sizes, self.held = sizes, [[] for _ in range(capacity + 1)]
+        for i in items:
+            self.held[sizes[i]].append(i)
+        self.n = len(items)
+        self.counts = np.array([len(h) for h in self.held])
+        self.fresh()
+
+    def fresh(self) -> None:
+        #: The greatest size up to each size that there is a piece of, 0 if none.
+        self.upto = np.maximum.accumulate(np.where(self.counts > 0, np.arange(len(self.counts)), 0))
+
+    def take(self, size: int) -> int:
+        self.n -= 1
+        self.counts[size] -= 1
+        if not self.counts[size]:
+            self.fresh()
+        return self.held[size].pop()
+
+    def put(self, item: int) -> None:
+        size = self.sizes[item]
+        self.n += 1
+        self.held[size].append(item)
+        self.counts[size] += 1
+        if self.counts[size] == 1:
+            self.fresh()
+
+    def one(self, room: int) -> int:
+        """The greatest size that fits, 0 if none."""
+        return int(self.upto[room])
+
+    def two(self, room: int) -> tuple[int, int]:
+        """The two sizes of the greatest sum that fits, zeros if none."""
+        first = np.arange(1, room // 2 + 1)
+        second = self.upto[room - first]
+        ok = (self.counts[first] > 0) & (second >= first) & ((second > first) | (self.counts[first] > 1))
+        if not ok.any():
+            return 0, 0
+        k = int(np.argmax(np.where(ok, first + second, 0)))
+        return int(first[k]), int(second[k])
+
+    def fill(self, bin_: list[int], room: int) -> int:
+        """Adds the one or two pieces that fill the room best, as long as any fits; gives the room that is left."""
+        while room and (one := self.one(room)):
+            if one < room and sum(pair := self.two(room)) > one:
+                bin_ += [self.take(pair[0]), self.take(pair[1])]
+                room -= sum(pair)
+            else:
+                bin_.append(self.take(one))
+                room -= one
+        return room
+
 
 class Island:
     """A population of packings of one shard, deterministic in its seed."""
@@ -91,57 +147,98 @@ class Island:
         self.least = -(-sum(sizes) // capacity)
         self.members: list[tuple[float, list[list[int]]]] = []
 
+    def load(self, b: list[int]) -> int:
+        return sum(map(self.sizes.__getitem__, b))
+
     def add(self, bins: list[list[int]]) -> None:
-        """Keeps the best: few sequences first, then those whose fill is the most uneven."""
-        fills = np.array([sum(map(self.sizes.__getitem__, b)) for b in bins]) / self.capacity
-        self.members.append((len(bins) - float(np.mean(fills**2)), bins))
+        """Keeps the best: few sequences first, then those whose fill is the most uneven; of equal ones one stays."""
+        fills = np.array([self.load(b) for b in bins]) / self.capacity
+        worth = len(bins) - float(np.mean(fills**2)) if bins else 0.0
+        if any(abs(worth - w) < 1e-12 for w, _ in self.members):
+            return
+        self.members.append((worth, bins))
         self.members.sort(key=lambda m: m[0])
         del self.members[self.population :]
 
     def seed(self) -> None:
-        """Best fit in falling order, and in orders that are disturbed a little."""
-        n = len(self.sizes)
-        for k in range(self.population):
-            bins: list[list[int]] = []
-            held = self.rng.permutation(n)[: n * k // (4 * self.population)].tolist() if k else []
-            late = set(held)
-            room: list[int] = []
-            best_fit(self.sizes, [i for i in range(n) if i not in late], bins, room, self.capacity)
-            best_fit(self.sizes, held, bins, room, self.capacity)
+        """Best fit in falling order; bins filled one by one with what suits their room, begun by the longest piece left, or by any."""
+        every = list(range(len(self.sizes)))
+        bins: list[list[int]] = []
+        best_fit(self.sizes, every, bins, [], self.capacity)
+        self.add(bins)
+        for k in range(self.population - 1 if not self.done() else 1):
+            loose, bins = Loose(self.sizes, every, self.capacity), []
+            while loose.n:
+                first = loose.one(self.capacity)
+                if k % 3 == 2 or k and self.rng.random() < 0.2:
+                    first = int(np.searchsorted(np.cumsum(loose.counts), self.rng.integers(loose.n), side="right"))
+                b = [loose.take(first)]
+                loose.fill(b, self.capacity - first)
+                bins.append(b)
             self.add(bins)
-            if self.done():
-                return
 
     def done(self) -> bool:
         return bool(self.members) and len(self.members[0][1]) <= self.least
 
     def cross(self, mother: list[list[int]], father: list[list[int]]) -> list[list[int]]:
-        fills = np.array([sum(map(self.sizes.__getitem__, b)) for b in father])
-        full = np.flatnonzero(fills >= np.quantile(fills, 0.5))
-        chosen = self.rng.permutation(full)[: max(1, len(full) // 4)].tolist()
-        given = [list(father[b]) for b in chosen]
-        inside = {i for b in given for i in b}
-        kept, displaced = [], []
-        for b in mother:
-            if inside.isdisjoint(b):
-                kept.append(list(b))
-            else:
-                displaced.extend(i for i in b if i not in inside)
-        # The emptiest sequences are opened too: their pieces may fill gaps elsewhere.
-        kept.sort(key=lambda b: -sum(map(self.sizes.__getitem__, b)))
-        opened = max(1, len(kept) // 50)
-        displaced.extend(i for b in kept[len(kept) - opened :] for i in b)
-        bins = given + kept[: len(kept) - opened]
-        room = [self.capacity - sum(map(self.sizes.__getitem__, b)) for b in bins]
-        best_fit(self.sizes, displaced, bins, room, self.capacity)
-        return bins
+        """The fuller of both parents' sequences first, each whole and only while no piece of it is in already; then what is displaced."""
+        both = [*mother, *father]
+        loads = np.array([self.load(b) for b in both]) + self.rng.random(len(both))
+        least = np.quantile(loads, self.rng.uniform(0.05, 0.5))
+        inside: set[int] = set()
+        bins = []
+        for k in np.argsort(-loads, kind="stable").tolist():
+            if loads[k] < least:
+                break
+            if inside.isdisjoint(both[k]):
+                inside.update(both[k])
+                bins.append(list(both[k]))
+        displaced = [i for i in range(len(self.sizes)) if i not in inside]
+        return self.place(bins, displaced)
+
+    def place(self, bins: list[list[int]], displaced: list[int]) -> list[list[int]]:
+        """Displaced pieces replace shorter ones, alone or in twos, where that fills a sequence better; the rest is best-fitted, or filled bin by bin."""
+        loose = Loose(self.sizes, displaced, self.capacity)
+        for b in bins:
+            room = self.capacity - self.load(b)
+            if not room or not loose.n:
+                continue
+            room = loose.fill(b, room)
+            for at in self.rng.permutation(len(b)).tolist():
+                if not room:
+                    break
+                own = self.sizes[b[at]]
+                pair = loose.two(own + room)
+                new = loose.one(own + room)
+                if max(new, sum(pair)) <= own:
+                    continue
+                out = b[at]
+                if sum(pair) > new:
+                    b[at] = loose.take(pair[0])
+                    b.append(loose.take(pair[1]))
+                    room -= sum(pair) - own
+                else:
+                    b[at] = loose.take(new)
+                    room -= new - own
+                loose.put(out)
+        left = [i for h in loose.held for i in h]
+        one = [list(b) for b in bins]
+        best_fit(self.sizes, left, one, [self.capacity - self.load(b) for b in one], self.capacity)
+        two = bins
+        while loose.n:
+            first = loose.one(self.capacity)
+            two.append([loose.take(first)])
+            loose.fill(two[-1], self.capacity - first)
+        return one if len(one) <= len(two) else two
 
     def evolve(self, generations: int) -> None:
-        for _ in range(generations):
-            if self.done() or len(self.members) < 2:
+        """At least one generation; no more where the pieces' sum allows no fewer sequences."""
+        for k in range(generations):
+            if k and self.done() or not self.members or not self.members[0][1]:
                 return
-            a, b = self.rng.choice(len(self.members), 2, replace=False)
-            self.add(self.cross(self.members[a][1], self.members[b][1]))
+            a, b = self.rng.choice(len(self.members), 2, replace=False) if len(self.members) > 1 else (0, 0)
+            child = self.cross(self.members[a][1], self.members[b][1])
+            self.add(child)
 
 
 def _assignment(bins: list[list[int]], n: int) -> np.ndarray:
@@ -171,8 +268,9 @@ def _epoch(capacity: int, population: int, generations: int, first: bool):
         if not first:
             for _, elite in rows.sort_values("uid").groupby("origin"):
                 here.add(_bins(elite["bin"].to_numpy()))
-        if not here.done():
+        if first:
             here.seed()
+        if first or not here.done():
             here.evolve(generations)
         bins = here.members[0][1]
         return pd.DataFrame({"shard": shard, "island": island, "origin": island, "uid": own["uid"].to_numpy(), "length": sizes, "bin": _assignment(bins, len(sizes)), "n_bins": len(bins)})
@@ -195,12 +293,17 @@ def _pack_shards(items: DataFrame, n: int, capacity: int, shard_pieces: int, isl
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", shard_pieces: int = 4096, islands: int = 2, epochs: int = 2, population: int = 6, generations: int = 12, refill: float = 0.97) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    cut = pieces(docs, tokenizer, end_id, capacity, id_col, text_col)
+    with scratch(ready(docs.sparkSession)) as keep:
+        cut = pieces(docs, tokenizer, end_id, capacity, id_col, text_col)
+        return keep(_place(cut, capacity, (shard_pieces, islands, epochs, population, generations), refill), "packing")
+
+
+def _place(cut: DataFrame, capacity: int, how: tuple, refill: float) -> DataFrame:
     cut = materialize(cut.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     whole = F.col("length") == capacity
     loose = cut.where(~whole).select("uid", "length")
     n = loose.count()
-    args = (capacity, shard_pieces, islands, epochs, population, generations)
+    args = (capacity, *how)
     one = _pack_shards(loose, n, *args, 0, "pack").withColumn("level", F.lit(0))
     one = materialize(one, "packed")
     fill = one.groupBy("shard", "bin").agg(F.sum("length").alias("fill")).where(F.col("fill") < refill * capacity).select("shard", "bin")
