@@ -1,23 +1,31 @@
 """Private data replaced by format-preserving Feistel pseudonyms, in DataFrame functions alone.
 
-One pattern finds e-mail addresses, IPv4 addresses, card numbers, IBANs, social security numbers,
+One pattern finds e-mail addresses, IPv4 and IPv6 addresses, card numbers, IBANs, social security numbers,
 telephone numbers, dates and credentials. A finding counts only if it is valid as what it looks like
 (Luhn's check for cards, modulus 97 for IBANs, ranges for addresses, dates and area numbers). What
-is valid is permuted, keyed, within its own format:
+is valid is permuted, keyed, within its own format, and what is only form doesn't count, so that a value that is
+written in several ways gets one pseudonym, written in each of them:
 
 * characters: an unbalanced Feistel network over the positions. Each has an alphabet (digits, lower
   or upper case letters, hexadecimal digits); in each round the positions of one half are shifted,
   modulo their alphabets' sizes, by a keyed hash of the other half. Every round can be undone, so equal values
   get equal pseudonyms in all documents and different values different ones.
-* IPv4 addresses: the same network over four numbers modulo 256.
+* e-mail addresses: the local part, in lower case; capitals are put back where they were, the domain stays.
+* IPv4 and IPv6 addresses: the same network over four numbers modulo 256, or eight modulo 65,536 (written in full).
+* telephone numbers: the digits behind the country's calling code (calling codes are free of prefixes, so the code
+  is known without a separator), whatever separates them; a trunk zero in brackets stays. Numbers without a code are
+  the same digits without one.
 * cards: all digits but the last are permuted and the last is Luhn's check digit again; IBANs keep
-  their country and get new check digits.
+  their country and get new check digits. Spaces and hyphens are put back.
 * dates: a network over the 73,049 = 319 x 229 days of 1900 to 2099 (days of a leap cycle fit no
   power), written in the format found: yyyy-MM-dd, dd.MM.yyyy, MM/dd/yyyy or, where that is no
   date, dd/MM/yyyy; each also with a day or month of one digit, then written without leading zeros.
 
 A text is split at its findings and joined again around the pseudonyms, so whole texts of any
-length are handled, and those without a digit or an at sign are left at once.
+length are handled, and those without a digit, an at sign or a credential's word are left at once.
+
+The key isn't part of the plan: what is derived from it is the value of a scalar subquery over a table of one row, so
+neither explanations nor event logs show it.
 
 Edge cases: null texts stay null; invalid findings stay as they are; a finding next to a letter or
 digit is part of something else and stays; repeated rows get the same pseudonyms; an empty table gives
@@ -26,20 +34,26 @@ no row; all other columns, whatever their names, are kept.
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
 from pyspark.sql import DataFrame, functions as F
 
+from .common import free_name
+
 ROUNDS = 8
 
 #: Tried in this order at each place.
 PATTERNS = {
     "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,63})@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<=(?:token|secret|api_key|apikey) = \")[0-9A-Za-z]{16,128}(?=\")|(?<=(?:password|passwd|token|secret|api_key|apikey)=)[0-9A-Za-z]{8,128}",
+    "secret": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[0-9A-Za-z]{36,255}(?![0-9A-Za-z])|github_pat_[0-9A-Za-z_]{22,255}(?![0-9A-Za-z])|glpat-[0-9A-Za-z_\-]{20,64}(?![0-9A-Za-z])|xox[abprs]-[0-9A-Za-z\-]{10,250}(?![0-9A-Za-z])|AIza[0-9A-Za-z_\-]{35}(?![0-9A-Za-z])|[sr]k_(?:live|test)_[0-9A-Za-z]{16,128}(?![0-9A-Za-z])|sk-[0-9A-Za-z_\-]{20,200}(?![0-9A-Za-z])|(?<=(?:token|secret|api_key|apikey) = \")[0-9A-Za-z]{16,128}(?=\")|(?<=(?:password|passwd|token|secret|api_key|apikey)=)[0-9A-Za-z]{8,128}",
+    "ip6": r"(?<!:)(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])|(?<!:)(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])",
     "iban": r"[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}(?![0-9A-Za-z])|[A-Z]{2}[0-9]{2}(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "ip": r"(?<![0-9]\.)(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9])|[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])|[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?![0-9-])|(?<![0-9]\.)[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9]|\.[0-9])|(?<![0-9]/)[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9/])",
     "card": r"[0-9]{13,19}(?![0-9])|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,7}(?![0-9])|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,7}(?![0-9])|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])",
     "ssn": r"(?<![0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])",
+    "phone": r"\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|\+[0-9]{1,3}[ .-]?\(0\)[ .-]?[0-9]{1,4}(?:[ .-][0-9]{2,4}){1,4}(?![0-9])|\+[0-9]{7,15}(?![0-9])|\+[0-9]{1,3}[ .-][0-9]{1,4}(?:[ .-][0-9]{2,4}){1,4}(?![0-9])|\+[0-9]{1,3}[ .-](?:[0-9]{2,4}[ .-])?[0-9]{5,12}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])",
 }
 _ANY = "(?<![0-9A-Za-z])(?:" + "|".join(PATTERNS.values()) + ")"
 _DIGITS, _LOWERS, _UPPERS, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
@@ -51,8 +65,13 @@ def _quoted(text: str) -> str:
 
 
 def _hash(key: str, *parts: str) -> str:
-    """A keyed number of 48 bits, as a SQL expression."""
-    return f"cast(conv(substr(sha2(concat_ws('|', {_quoted(key)}, {', '.join(parts)}), 256), 1, 12), 16, 10) as bigint)"
+    """A keyed number of 48 bits, as a SQL expression; key is one, too."""
+    return f"cast(conv(substr(sha2(concat_ws('|', {key}, {', '.join(parts)}), 256), 1, 12), 16, 10) as bigint)"
+
+
+def derived(key: str) -> str:
+    """What the networks are keyed by."""
+    return hmac.new(key.encode(), b"pseudonyms", hashlib.sha256).hexdigest()
 
 
 def _feistel(values: str, radices: str, key: str, kind: str) -> str:
@@ -93,8 +112,8 @@ def _luhn_sum(digits: str, odd: str) -> str:
 
 
 def _shaped(made: str, value: str) -> str:
-    """made, with value's spaces and hyphens at their places."""
-    return _let("q", made, f"array_join(transform(filter(split({value}, ''), c -> c != ''), (c, i) -> if(c in (' ', '-'), c, substr(q, length(regexp_replace(substr({value}, 1, i + 1), '[ -]', '')), 1))), '')")
+    """The digits or capitals of made, with what else value has at its places."""
+    return _let("q", made, f"array_join(transform(filter(split({value}, ''), c -> c != ''), (c, i) -> if(c rlike '[0-9A-Z]', substr(q, length(regexp_replace(substr({value}, 1, i + 1), '[^0-9A-Z]', '')), 1), c)), '')")
 
 
 def _card(value: str, key: str) -> str:
@@ -133,8 +152,19 @@ def _date(value: str, key: str) -> str:
     return _let("dp", f"split({value}, '[-./]')", _let("ds", days, moved))
 
 
+def _ip6(value: str, key: str) -> str:
+    """The groups that :: stands for are zeros."""
+    halves = "split({0}, '::', -1)"
+    groups = lambda h: f"filter(split({h}, ':'), g -> g != '')"
+    full = _let("hs", halves.format(value), f"if(size(hs) = 1, {groups('hs[0]')}, concat({groups('hs[0]')}, array_repeat('0', 8 - size({groups('hs[0]')}) - size({groups('hs[1]')})), {groups('hs[1]')}))")
+    numbers = _feistel("transform(g8, g -> cast(conv(g, 16, 10) as bigint))", "transform(g8, g -> 65536L)", key, "ip6")
+    return _let("g8", full, f"if(size(g8) = 8 and {value} rlike '[0-9]', array_join(transform({numbers}, n -> lower(hex(n))), ':'), {value})")
+
+
 def _email(value: str, key: str) -> str:
-    return _let("at", f"instr({value}, '@')", f"concat({_characters(f'substr({value}, 1, at - 1)', key, 'email')}, substr({value}, at))")
+    local = f"substr({value}, 1, at - 1)"
+    cased = _let("low", _characters(f"lower({local})", key, "email"), f"array_join(zip_with(filter(split(low, ''), c -> c != ''), filter(split({local}, ''), c -> c != ''), (n, o) -> if(o rlike '[A-Z]', upper(n), n)), '')")
+    return _let("at", f"instr({value}, '@')", f"concat({cased}, substr({value}, at))")
 
 
 def _ssn(value: str, key: str) -> str:
@@ -142,22 +172,31 @@ def _ssn(value: str, key: str) -> str:
     return f"if({valid}, {_characters(value, key, 'ssn')}, {value})"
 
 
+#: Calling codes of one and two digits; all others have three.
+_CODES = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+
+
 def _phone(value: str, key: str) -> str:
-    """The country's code stays; seven to fifteen digits in all are a telephone number."""
-    head = f"regexp_extract({value}, '^([+][0-9]{{1,3}}(?=[ .(-]))?', 0)"
-    digits = f"length(regexp_replace({value}, '[^0-9]', ''))"
-    return _let("h", head, f"if({digits} between 7 and 15, concat(h, {_characters(f'substr({value}, length(h) + 1)', key, 'phone')}), {value})")
+    """Digits behind the calling code are permuted; seven to fifteen in all are a telephone number."""
+    plain = f"replace({value}, '(0)', '(\u0001)')"
+    code = f"if({value} like '+%', coalesce(nullif(regexp_extract(pd, '^({_CODES})', 1), ''), substr(pd, 1, 3)), '')"
+    made = f"concat(cc, {_characters('substr(pd, length(cc) + 1)', key, 'phone')})"
+    shaped = _let("pv", plain, f"replace({_shaped('pn', 'pv')}, '(\u0001)', '(0)')")
+    body = _let("cc", code, _let("pn", made, shaped))
+    return _let("pd", f"regexp_replace(replace({value}, '(0)', ''), '[^0-9]', '')", f"if(length(pd) between 7 and 15, {body}, {value})")
 
 
 def _secret(value: str, key: str) -> str:
-    own = _characters(value, key, "secret", f"not {value} rlike '[^0-9a-f]'")
-    return f"if({value} like 'AKIA%' and length({value}) = 20, concat('AKIA', {_characters(f'substr({value}, 5)', key, 'secret')}), {own})"
+    """A known kind's first letters stay."""
+    head = f"regexp_extract({value}, '^(AKIA(?=.{{16}}$)|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|AIza|[sr]k_(?:live|test)_|sk-)?', 0)"
+    body = f"substr({value}, length(sh) + 1)"
+    return _let("sh", head, f"concat(sh, {_characters(body, key, 'secret', f'not {body} rlike {_quoted("[^0-9a-f]")}')})")
 
 
 def _pseudonym(value: str, key: str) -> str:
     """The pseudonym of one finding, or the finding where it isn't valid."""
     whole = lambda kind: f"{value} rlike {_quoted('^(?:' + _SHAPES[kind] + ')$')}"
-    made = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
+    made = {"email": _email, "iban": _iban, "ip": _ip, "ip6": _ip6, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
     cases = " ".join(f"when {whole(kind)} then {made[kind](value, key)}" for kind in _SHAPES)
     return f"case {cases} else {_secret(value, key)} end"
 
@@ -166,6 +205,7 @@ def _pseudonym(value: str, key: str) -> str:
 _SHAPES = {
     "email": ".*@.*",
     "ip": "(?:[0-9]{1,3}[.]){3}[0-9]{1,3}",
+    "ip6": "[0-9A-Fa-f:]*:[0-9A-Fa-f:]*",
     "date": "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}",
     "ssn": "[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "card": "[0-9](?:[ -]?[0-9]){12,18}",
@@ -176,7 +216,9 @@ _SHAPES = {
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs, with all their columns, and the private data of text_col replaced."""
-    text, any_ = f"`{text_col}`", _quoted(_ANY)
-    made = f"transform(regexp_extract_all({text}, {any_}, 0), v -> {_pseudonym('v', key)})"
+    text, any_, own = f"`{text_col}`", _quoted(_ANY), free_name(docs, "own_key")
+    made = f"transform(regexp_extract_all({text}, {any_}, 0), v -> {_pseudonym('v', f'`{own}`')})"
     joined = f"array_join(zip_with(split({text}, {any_}, -1), {made}, (s, v) -> concat(s, coalesce(v, ''))), '')"
-    return docs.withColumn(text_col, F.expr(f"if({text} rlike '[0-9@]|(?i:password|passwd|token|secret|api_?key)', {joined}, {text})"))
+    keyed = docs.withColumn(own, docs.sparkSession.createDataFrame([(derived(key),)], "own_key string").scalar())
+    told = F.expr(f"if({text} rlike '[0-9@]|::|(?i:password|passwd|token|secret|api_?key|sk-|xox|gh[pousr]_)', {joined}, {text})")
+    return keyed.withColumn(text_col, told).drop(own)

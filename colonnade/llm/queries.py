@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -55,9 +56,20 @@ def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("sentence_ids", "licenses")})
 
 
+_DRAWN: list[str] = []
+
+
 def pii_key() -> str:
-    """The key of the pseudonyms: a secret of whoever runs it; the default is for tests alone."""
-    return os.environ.get("COLONNADE_PII_KEY", "not a secret")
+    """The key of the pseudonyms, a secret of whoever runs it, from COLONNADE_PII_KEY.
+
+    Without one a key is drawn for this process: there is no key that others could know, and pseudonyms of
+    different runs aren't linked.
+    """
+    if key := os.environ.get("COLONNADE_PII_KEY"):
+        return key
+    if not _DRAWN:
+        _DRAWN.append(secrets.token_hex(32))
+    return _DRAWN[0]
 
 
 def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

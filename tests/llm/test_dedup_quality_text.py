@@ -362,7 +362,7 @@ KEY = "k'ey"
 
 
 def prf(kind, n, r, i, told):
-    return int(hashlib.sha256(f"{KEY}|{kind}|{n}|{r}|{i}|{told}".encode()).hexdigest()[:12], 16)
+    return int(hashlib.sha256(f"{pii.derived(KEY)}|{kind}|{n}|{r}|{i}|{told}".encode()).hexdigest()[:12], 16)
 
 
 def feistel(values, radices, kind):
@@ -404,7 +404,8 @@ def brute_pseudonym(kind, v):
         a, b = feistel([n // 229, n % 229], [319, 229], "date")
         return (dt.date(1900, 1, 1) + dt.timedelta(a * 229 + b)).isoformat()
     if kind == "phone":
-        return v[:2] + characters(v[2:], "phone")
+        made = iter(characters("".join(c for c in v[2:] if c.isdigit()), "phone"))
+        return v[:2] + "".join(next(made) if c.isdigit() else c for c in v[2:])
     if kind == "secret":
         return characters(v, "secret", re.fullmatch("[0-9a-f]*", v) is not None)
     return characters(v, kind)
