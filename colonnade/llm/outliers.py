@@ -15,11 +15,13 @@ The estimate is made over all documents without holding a group in one place:
   uses all documents within the 97.5 % quantile.
 
 A hot source is thus some hundred sums like any other. Groups of fewer than ``least`` documents
-are pooled by language, languages of fewer over all. ``FLOORS`` are the least standard deviations,
+are put together with the others of their language that are, and such pools that still have fewer with each
+other: estimates are of what is small in the corpus, not of the large groups beside it. ``FLOORS`` are the least standard deviations,
 so that a statistic that is constant in most of a group (no symbol at all) stays defined.
 
 Edge cases: a null text has no words and is base-failed; null languages and sources are groups of
-their own; pools of fewer than ``least`` documents reject nobody; repeated rows are judged each.
+their own; a last pool of fewer than ``least`` documents rejects nobody; very long texts are vectors like
+others; repeated rows are judged each; an empty table gives no row; columns of any name beside the four don't matter.
 """
 
 from __future__ import annotations

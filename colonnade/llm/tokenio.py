@@ -27,14 +27,23 @@ from . import encode
 from .common import new_path, ready
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, partitions: int | None = None) -> str:
-    """Writes the ids of all documents, each with end_id after it. encoding: dictionary or delta."""
+def _planned_bytes(df: DataFrame) -> int:
+    """What the optimiser takes df's size for (of files, theirs); 0 where it knows none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, partitions: int | None = None, partition_bytes: int = 128 << 20) -> str:
+    """Writes the ids of all documents, each with end_id after it. encoding: dictionary or delta.
+
+    There are as many parts as the session shuffles to, and more where the planned size of the input asks for it.
+    """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding {encoding!r}")
     spark = ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_planned_bytes(rows) // partition_bytes))
     # The order of doc_id, equal ones by a hash of their texts and by the texts: the same whichever executor
     # makes a partition again, and rows without an id, however many, are ranged over partitions, too.
     hashed = rows.withColumn("tie", F.xxhash64("text"))

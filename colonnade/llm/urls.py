@@ -7,7 +7,7 @@ longest wins, of equally long ones that with the longer host. Both lists are par
 every task, so they must fit its memory; URLs are judged one by one, without a shuffle.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path, so that no rule fits; a
-null is allowed; repeated rows are each judged; an empty table gives no row.
+null is allowed; very long URLs are read whole; repeated rows are each judged; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -19,8 +19,28 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import ready
 
-STRICT = ("adult", "camgirls", "casino", "cialis", "escort", "hentai", "malware", "nude", "phishing", "porn", "sex", "viagra", "warez", "xxx")
-SOFT = ("ads", "bet", "bets", "bonus", "cash", "cheap", "click", "crack", "dating", "farm", "free", "jackpot", "keygen", "loan", "pharmacy", "pill", "pills", "poker", "slots", "spam", "torrent", "track", "win")
+#: English, German, French and Spanish; a deployment names its own lists, or files of them (read_terms).
+STRICT = tuple("""
+adult bdsm blowjob camgirl camgirls camsex casino casinos cialis cumshot deepfakes erotik escort escorts fetish gangbang hardcore hentai incest keyloggers
+levitra malware milf milfs naked nude nudes nudity onlyfans phishing porn porno pornos pornhub putas ransomware redtube sex sexe sexo sexshop sexy shemale
+spyware striptease tramadol upskirt viagra voyeur warez xnxx xvideos xxx youporn
+""".split())
+SOFT = tuple("""
+abnehmen ads affiliate affiliates apuesta apuestas baccarat bet bets betting bingo blackjack bonus bonos botox cash cheap clickbait click clics
+coupon coupons crack cracked cracks credit credito crypto darlehen dating descuento diet dieta discount doubleclick escorte farm forex free freebie
+gambling game-hack gewinn gewinnspiel giveaway gluecksspiel gratis gratuit guadagno hack hacks jackpot jeux kasino keto keygen keygens kredit kostenlos
+leads loan loans loteria lotterie lottery loterie lotto mlm nackt payday pharmacie pharmacy pill pills pillen poker popads popunder pret prestamo prestamos
+promo promocode rabatt rencontre rencontres replica replicas roulette sale serial serials slot slots spam spins sportsbook steroids surveys sweepstakes
+tabletten tipster torrent torrents track tracker tracking treffen ultracheap vape wager warranty-free watches weightloss wett wetten win winner
+""".split())
+
+
+def read_terms(path: str) -> tuple[str, ...]:
+    """The terms of a file, one a line, in lower case; empty lines and those that begin with # don't count."""
+    with open(path, encoding="utf-8") as f:
+        lines = [x.strip().translate(_LOWER) for x in f]
+    return tuple(dict.fromkeys(x for x in lines if x and x[0] != "#"))
+
 
 _LOWER = {i: i + 32 for i in range(65, 91)}
 _HOST = re.compile(r"^.*?://([^/?#]*)([^?#]*)", re.S)
