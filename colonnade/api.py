@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from .operators import scan
@@ -21,6 +21,11 @@ from .sources import footer
 from .sources.files import WriterOptions, read_orc, write_orc
 
 
+#: Rows that a cursor with row numbers reads at once, at least a batch.
+WINDOW_ROWS = 1 << 16
+_ROW = "__row_no"
+
+
 class Reader:
     """The ORC files at a path. Nothing is read before it is asked for."""
 
@@ -51,7 +56,7 @@ class Reader:
         return scan.project_ids(self.df, ids or [])
 
     def batches(self, ids: list[int] | None = None, size: int = 10_000, row_no: str | None = None) -> BatchCursor:
-        """A cursor. row_no names a column that numbers the rows; files sorted by it are sought by predicate."""
+        """A cursor. row_no names a column that numbers the rows from 0; files sorted by it are sought by predicate, without a sort of the rest."""
         return BatchCursor(self, ids, size, row_no)
 
     def close(self) -> None:
@@ -75,13 +80,23 @@ class BatchCursor:
         self._from = 0
 
     def _start(self) -> Iterator[pa.RecordBatch]:
-        own = self.file.df
         if self.row_no:
-            own = scan.seek(own, self._from, self.row_no).sort(self.row_no)
-        elif self._from:
-            own = own.offset(self._from)
+            return self._windows()
+        own = self.file.df.offset(self._from) if self._from else self.file.df
         return scan.batches(scan.project_ids(own, self.ids or []), self.size)
 
+    def _window(self, first: int, n: int) -> DataFrame:
+        """n rows from first on, by a range of row numbers that files, stripes and row groups are pruned by; nothing is shuffled."""
+        rows = self.file.df.where(F.col(self.row_no).between(first, first + n - 1))
+        return rows.select(*scan.columns_of(rows, self.ids or []), F.col(self.row_no).alias(_ROW))
+
+    def _windows(self) -> Iterator[pa.RecordBatch]:
+        """Windows of some batches each, one after the other, sorted where they are small."""
+        step = self.size * max(1, WINDOW_ROWS // self.size)
+        for first in range(self._from, self.file.number_of_rows, step):
+            table = self._window(first, step).toArrow().sort_by(_ROW).drop_columns([_ROW])
+            yield from table.combine_chunks().to_batches(max_chunksize=self.size)
+
     def next(self) -> pa.RecordBatch | None:
         if self._own is None:
             self._own = self._start()

@@ -73,6 +73,15 @@ def varint_hex(x: Column | str, signed: bool = False) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.lpad(F.hex(byte(i)), 2, "0")), "")
 
 
+def varint_value(h: Column | str, signed: bool = False) -> Column:
+    """The value of varint_hex's bytes."""
+    h = F.col(h) if isinstance(h, str) else h
+    byte = lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("long")
+    part = lambda i: F.call_function("shiftleft", byte(i).bitwiseAND(F.lit(127).cast("long")), (i * 7).cast("int"))
+    u = F.aggregate(F.sequence(F.lit(0), (F.length(h) / 2).cast("int") - 1), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(part(i)))
+    return unzigzag(u) if signed else u
+
+
 def nanos_scaled(n: Column | str) -> Column:
     """Nanoseconds with trailing zeros taken off: the low three bits count them, less one."""
     n = _long(n)

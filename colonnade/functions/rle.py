@@ -7,8 +7,10 @@ runs (short repeat, direct, patched base, delta); ``encode_bytes``/``decode_byte
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bits import ALIGNED, WIDTHS
@@ -269,28 +271,45 @@ def decode_bools(data: bytes, n: int) -> list[bool]:
 def encode_column(df: DataFrame, order: str, value: str, block: int = BLOCK, signed: bool = True) -> DataFrame:
     """block_no, n, present (bits of the null bitmap, run-length coded) and data of each block of rows.
 
-    Blocks are consecutive places divided by their size, so groups are small and shuffled evenly.
+    Blocks are consecutive places divided by their size. Rows are ranged over tasks by block, sorted in each and encoded as they
+    stream by; a task holds a batch and the rows of the block that goes on in the next one.
     """
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("o")
-        values = [None if v is None else int(v) for v in rows["v"]]  # text: null and 64 bits are both exact
-        return pd.DataFrame({"block_no": [int(key[0])], "first": [int(rows["o"].iloc[0])], "n": [len(rows)], "present": [encode_bools(v is not None for v in values)], "data": [encode_ints([v for v in values if v is not None], signed)]})
+    def made(b: int, order: np.ndarray, values: pa.Array) -> tuple:
+        there = values.is_valid().to_numpy(zero_copy_only=False)
+        return b, int(order[0]), len(order), encode_bools(there), encode_ints(values.drop_null().to_pylist(), signed)
+
+    def run(batches):
+        held = None
+        for batch in chain(batches, [None]):
+            rows = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if rows is None or not rows.num_rows:
+                continue
+            numbers, order, values = rows.column("b").to_numpy(), rows.column("o").to_numpy(), rows.column("v").combine_chunks()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(numbers)) + 1, [len(numbers)]]).tolist()
+            whole = cuts if batch is None else cuts[:-1]  # the last block may go on
+            out = [made(int(numbers[x]), order[x:y], values.slice(x, y - x)) for x, y in zip(whole, whole[1:])]
+            held = rows.slice(whole[-1])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["block_no", "first", "n", "present", "data"])
 
-    rows = df.select(F.expr(f"`{order}` div {block}").alias("b"), F.col(order).cast("long").alias("o"), F.col(value).cast("string").alias("v"))
-    return rows.groupBy("b").applyInPandas(run, "block_no long, first long, n int, present binary, data binary")
+    rows = df.select(F.expr(f"`{order}` div {block}").alias("b"), F.col(order).cast("long").alias("o"), F.col(value).cast("long").alias("v"))
+    return rows.repartitionByRange("b").sortWithinPartitions("b", "o").mapInArrow(run, "block_no long, first long, n int, present binary, data binary")
 
 
 def decode_column(blocks: DataFrame, order: str, value: str, signed: bool = True) -> DataFrame:
     """The rows of encode_column again, places and values."""
 
     def run(batches):
-        for rows in batches:
-            order_out, out = [], []
-            for first, n, present, data in zip(rows["first"], rows["n"], rows["present"], rows["data"]):
-                values = iter(decode_ints(bytes(data), signed))
-                order_out += range(first, first + n)
-                out += [next(values) if p else None for p in decode_bools(bytes(present), n)]
-            yield pd.DataFrame({order: pd.array(order_out, dtype="Int64"), value: pd.array(out, dtype="Int64")})
-
-    return blocks.select("first", "n", "present", "data").mapInPandas(run, f"`{order}` long, `{value}` long")
+        for batch in batches:
+            places, there, out = [], [], []
+            for first, n, present, data in zip(*(batch.column(c).to_pylist() for c in ("first", "n", "present", "data"))):
+                places.append(np.arange(first, first + n))
+                there.append(np.array(decode_bools(present, n), bool))
+                out.append(np.array(decode_ints(data, signed), np.int64))
+            there = np.concatenate(there) if there else np.empty(0, bool)
+            values = np.zeros(len(there), np.int64)
+            values[there] = np.concatenate(out) if out else values
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(places) if places else values), pa.array(values, mask=~there)], names=["o", "v"])
+
+    return blocks.select("first", "n", "present", "data").mapInArrow(run, "o long, v long").toDF(order, value)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import names_of
 from ..store import materialize
@@ -13,8 +13,12 @@ from ..store import materialize
 
 def project_ids(df: DataFrame, ids: list[int]) -> DataFrame:
     """Columns by their pre-order ids; fields of structs come out under their dotted paths."""
+    return df.select(*columns_of(df, ids))
+
+
+def columns_of(df: DataFrame, ids: list[int]) -> list[Column]:
     names = names_of(df.schema, ids)
-    return df.select(*(F.col(".".join(f"`{p}`" for p in n.split("."))).alias(n.replace(".", "_")) for n in names))
+    return [F.col(".".join(f"`{p}`" for p in n.split("."))).alias(n.replace(".", "_")) for n in names]
 
 
 def with_row_no(df: DataFrame, order_by: list[str], name: str = "row_no") -> DataFrame:
@@ -23,12 +27,21 @@ def with_row_no(df: DataFrame, order_by: list[str], name: str = "row_no") -> Dat
     Rows are ranged over partitions and sorted in each; a row's number is its place in its partition plus
     the sizes of the partitions before, of which there is one small row each.
     """
+    part, at, base = (_free(df, n) for n in ("part", "at", "base"))
     own = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-    placed = materialize(own.select("*", F.spark_partition_id().alias("__part"), (F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)).alias("__at")), "row-no")
-    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    return placed.join(F.broadcast(base), "__part").select(*df.columns, (F.col("__base") + F.col("__at")).alias(name))
+    placed = materialize(own.select("*", F.spark_partition_id().alias(part), (F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)).alias(at)), "row-no")
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base))
+    return placed.join(F.broadcast(starts), part).select(*(placed[f"`{c}`"] for c in df.columns), (F.col(base) + F.col(at)).alias(name))
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name = "_" + name
+    return name
 
 
 def batch_no(row_no: str, size: int):

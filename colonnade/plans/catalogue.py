@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import bits, rle
+from ..functions import bits, rle, streams
 from ..operators import scan, statistics
 from ..schema import schema_table
 from ..sources import footer
@@ -193,15 +193,32 @@ query("row_index_string", "select o_orderkey // 1000 as stride, count(o_orderpri
 # Footers ---------------------------------------------------------------------------------------------
 
 _ONE_FILE = {"files": 1}
-query("footer_tail")(lambda spark, d: footer.tails(spark, orc_path(spark, d, "orders")))
-query("footer_stripes")(lambda spark, d: footer.stripes(spark, orc_path(spark, d, "orders", WriterOptions(stripe_size=65_536), **_ONE_FILE)))
-query("stripe_stats")(lambda spark, d: footer.stripe_statistics(spark, orc_path(spark, d, "orders", WriterOptions(stripe_size=65_536), **_ONE_FILE)))
+_SMALL = WriterOptions(stripe_size=65_536, chunk_size=8_192)
+query("footer_tail", "select count(*) as n_rows, 'ZLIB' as codec, 262144 as chunk_size, 10000 as row_index_stride, '0.12' as version from orders")(lambda spark, d: footer.tails(spark, orc_path(spark, d, "orders")).groupBy("codec", "chunk_size", "row_index_stride", "version").agg(F.sum("n_rows").alias("n_rows")))
+
+
+@query("footer_stripes", "select 'lineitem' as name, count(*)::bigint as n_rows, true as several, 3::bigint as first_offset, 0::bigint as n_gaps from lineitem")
+def footer_stripes(spark, d):
+    """Stripes hold all rows, begin behind the magic bytes and follow each other without a gap."""
+    own = footer.stripes(spark, orc_path(spark, d, "lineitem", _SMALL, **_ONE_FILE))
+    end = F.col("offset") + F.col("index_bytes") + F.col("data_bytes") + F.col("footer_bytes")
+    own = own.withColumn("gap", F.lead("offset").over(Window.partitionBy("file").orderBy("stripe")) - end)
+    return own.agg(F.sum("n_rows").alias("n_rows"), (F.count(F.lit(1)) > 1).alias("several"), F.min("offset").alias("first_offset"), F.count_if(F.col("gap") != 0).alias("n_gaps")).select(F.lit("lineitem").alias("name"), "*")
+
+
+@query("stripe_stats", "select true as several, count(*)::bigint as n_values, min(l_orderkey)::bigint as low, max(l_orderkey)::bigint as high, sum(l_orderkey)::bigint as total from lineitem")
+def stripe_stats(spark, d):
+    """A column's statistics over all stripes."""
+    own = footer.stripe_statistics(spark, orc_path(spark, d, "lineitem", _SMALL, **_ONE_FILE)).where("column_id = 1")
+    return own.agg((F.count(F.lit(1)) > 1).alias("several"), F.sum("n_values").alias("n_values"), F.min(F.col("min").cast("long")).alias("low"), F.max(F.col("max").cast("long")).alias("high"), F.sum(F.col("sum").cast("long")).alias("total"))
+
+
 query("footer_stats", "select 2 as column_id, count(*) as n_values, min(o_custkey)::varchar as low, max(o_custkey)::varchar as high, sum(o_custkey)::bigint::varchar as total from orders")(lambda spark, d: footer.file_statistics(spark, orc_path(spark, d, "orders", **_ONE_FILE)).where("column_id = 2").select("column_id", "n_values", F.col("min").alias("low"), F.col("max").alias("high"), F.col("sum").alias("total")))
 query("footer_row_index", "select 2 as column_id, o_orderkey // 1000 as stride, count(*) as n_values, min(o_custkey)::varchar as low, max(o_custkey)::varchar as high, sum(o_custkey)::bigint::varchar as total from orders group by 2")(
     lambda spark, d: footer.row_index(spark, orc_path(spark, d, "orders", WriterOptions(row_index_stride=1000), sort_by=["o_orderkey"], **_ONE_FILE)).where("column_id = 2").select("column_id", F.col("stride").cast("long").alias("stride"), "n_values", F.col("min").alias("low"), F.col("max").alias("high"), F.col("sum").alias("total"))
 )
 query("footer_schema", "select 'struct<o_orderkey:bigint,o_custkey:bigint,o_orderstatus:string,o_totalprice:double,o_orderdate:bigint,o_orderpriority:string>' as schema")(lambda spark, d: footer.tails(spark, orc_path(spark, d, "orders", **_ONE_FILE)).select("schema"))
-query("footer_user_metadata")(lambda spark, d: footer.user_metadata(spark, orc_path(spark, d, "orders", **_ONE_FILE)).select("key", "value"))
+query("footer_user_metadata", "select 'org.apache.spark.version' as key, true as known, count(distinct 1)::bigint as n from orders")(lambda spark, d: footer.user_metadata(spark, orc_path(spark, d, "orders", **_ONE_FILE)).where("key = 'org.apache.spark.version'").groupBy("key", (F.col("value") == spark.version).alias("known")).agg(F.count(F.lit(1)).alias("n")))
 query("footer_rows", "select count(*)::bigint as n from lineitem")(lambda spark, d: footer.tails(spark, orc_path(spark, d, "lineitem")).agg(F.sum("n_rows").alias("n")))
 
 # Encodings -------------------------------------------------------------------------------------------
@@ -256,19 +273,17 @@ def dict_decode(spark, d):
 
 
 query("chunk_header", "select 100000 as length, false as original, '400d03' as h union all select 5, true, '0b0000'")(lambda spark, d: spark.createDataFrame([(100_000, False), (5, True)], "length int, original boolean").select("length", "original", bits.chunk_header(F.col("length"), F.col("original")).alias("h")))
-query("float_bits_le")(lambda spark, d: _float_bits(orc(spark, d, "embeddings")))
-
-
-def _float_bits(df: DataFrame) -> DataFrame:
-    """The little-endian bytes of each vector's floats, as a file's DATA stream holds them."""
-    import numpy as np
-    import pyarrow as pa
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.asarray(x, "<f4").tobytes().hex() for x in batch.column(1).to_pylist()], pa.string())], names=["vec_id", "h"])
-
-    return df.select("vec_id", "embedding").mapInArrow(run, "vec_id long, h string")
+#: A float's sign, exponent and fraction by arithmetic, as bytes from the lowest.
+_BITS = """with v as (select vec_id, p, abs(x::double) as a, x < 0 as neg from (select vec_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as p from embeddings)),
+g as (select *, floor(log2(a)) as e0 from v where a > 0),
+e as (select *, e0 + case when a >= 2.0 ** (e0 + 1) then 1 when a < 2.0 ** e0 then -1 else 0 end as e from g),
+u as (select vec_id, p, (case when neg then 2147483648 else 0 end + (e + 127) * 8388608 + (a / 2.0 ** e - 1) * 8388608)::bigint as u from e union all select vec_id, p, 0 from v where a = 0)
+select vec_id, string_agg(printf('%02x%02x%02x%02x', u & 255, (u >> 8) & 255, (u >> 16) & 255, (u >> 24) & 255), '' order by p) as h from u group by vec_id"""
+query("float_bits_le", _BITS)(lambda spark, d: streams.float_bytes(orc(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("h")), "h").select("vec_id", F.lower(F.hex("h")).alias("h")))
+query("float_round_trip", "select vec_id, embedding from embeddings")(lambda spark, d: streams.bytes_floats(streams.float_bytes(orc(spark, d, "embeddings").select("vec_id", "embedding"), "embedding"), "embedding"))
+query("double_round_trip", "select o_orderkey, [o_totalprice, -o_totalprice] as x from orders")(lambda spark, d: streams.bytes_floats(streams.float_bytes(orc(spark, d, "orders").select("o_orderkey", F.array("o_totalprice", -F.col("o_totalprice")).alias("x")), "x", "double"), "x", "double"))
+_WIDE = "(o_custkey - 700) * 1234567891"
+query("varint_round_trip", f"select o_orderkey, {_WIDE} as v from orders")(lambda spark, d: _orders(spark, d).select("o_orderkey", bits.varint_value(bits.varint_hex(F.expr(_WIDE), True), True).alias("v")))
 
 
 _GOLDEN = {
@@ -296,6 +311,11 @@ def _golden(name: str):
 
 for _name, _rows in _GOLDEN.items():
     query(_name, "select * from (values " + ", ".join(f"('{r[0]}', '{r[3]}')" for r in _rows) + ") t(name, h)")(_golden(_name))
+_DECODED = {"golden_byte_rle": streams.run_lengths_bytes, "golden_bool_rle": streams.run_lengths_bools}
+for _name in _DECODED:
+    query(f"{_name}_decoded", "select * from (values " + ", ".join(f"('{r[0]}', {[bool(x) for x in r[1]] if 'bool' in _name else r[1]}{'' if 'bool' in _name else '::tinyint[]'})" for r in _GOLDEN[_name]) + ") t(name, v)")(
+        lambda spark, d, n=_name: _DECODED[n](spark.createDataFrame([(r[0], bytearray.fromhex(r[3])) for r in _GOLDEN[n]], "name string, v binary"), "v")
+    )
 _NULLABLE = "nullif(o_custkey % 97, 5) * 4611686018427"
 query("rle_v2_roundtrip", f"select o_orderkey, {_NULLABLE} as v from orders")(lambda spark, d: rle.decode_column(rle.encode_column(orc(spark, d, "orders").selectExpr("o_orderkey", f"{_NULLABLE} as v"), "o_orderkey", "v"), "o_orderkey", "v"))
 

@@ -90,6 +90,62 @@ def _lz4_block(data: bytes) -> bytes:
     return bytes(out)
 
 
+def _lzo_block(data: bytes) -> bytes:
+    """LZO1X, as the format's chunks have it: literals, and copies of four kinds by their first byte."""
+    out, at = bytearray(), 0
+
+    def more(n: int, mask: int, at: int) -> tuple[int, int]:
+        """A length beyond its bits: zeros count 255 each."""
+        if n:
+            return n, at
+        while data[at] == 0:
+            n += 255
+            at += 1
+        return n + mask + data[at], at + 1
+
+    def copy(back: int, n: int) -> None:
+        for _ in range(n):
+            out.append(out[-back])
+
+    literal = 0  # literals right before this instruction: 0 none, 1 to 3 a few behind a copy, 4 a run
+    if data[0] > 17:
+        n = data[0] - 17
+        out += data[1 : 1 + n]
+        at, literal = 1 + n, 4 if n > 3 else n
+    while True:
+        t = data[at]
+        at += 1
+        if t >= 64:
+            back, n = (t >> 2 & 7) + (data[at] << 3) + 1, (t >> 5) + 1
+            at += 1
+        elif t >= 32:
+            n, at = more(t & 31, 31, at)
+            back, n = (data[at] >> 2) + (data[at + 1] << 6) + 1, n + 2
+            at += 2
+        elif t >= 16:
+            n, at = more(t & 7, 7, at)
+            back, n = ((t & 8) << 11) + (data[at] >> 2) + (data[at + 1] << 6), n + 2
+            at += 2
+            if not back:
+                return bytes(out)
+            back += 0x4000
+        elif literal == 0:
+            n, at = more(t, 15, at)
+            out += data[at : at + n + 3]
+            at, literal = at + n + 3, 4
+            continue
+        elif literal == 4:
+            back, n = (t >> 2) + (data[at] << 2) + 0x801, 3
+            at += 1
+        else:
+            back, n = (t >> 2) + (data[at] << 2) + 1, 2
+            at += 1
+        copy(back, n)
+        literal = data[at - 2] & 3
+        out += data[at : at + literal]
+        at += literal
+
+
 def _chunk(data: bytes, codec: str, limit: int) -> bytes:
     if codec == "ZLIB":
         return zlib.decompress(data, -15)
@@ -103,7 +159,9 @@ def _chunk(data: bytes, codec: str, limit: int) -> bytes:
         return pa.Codec("snappy").decompress(data, varint(data, 0)[0]).to_pybytes()
     if codec == "LZ4":
         return _lz4_block(data)
-    raise NotImplementedError(codec)
+    if codec == "LZO":
+        return _lzo_block(data)
+    raise ValueError(f"unknown codec {codec!r}")
 
 
 def inflate(data: bytes, codec: str, limit: int) -> bytes:
