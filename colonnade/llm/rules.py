@@ -11,7 +11,8 @@ Learning uses only labelled rows outside the held-out fifth, ``crc32(doc_id as t
 
 Edge cases: a null or empty text has zero counts and a score like any other; rows without a
 label don't teach; with no label, or of one kind only, the score is the share of label 1 (0.5 without
-any); repeated rows are each scored; an empty table gives no row.
+any); repeated rows are each scored, and of rows that share a labelled id one teaches; very long texts are counted
+whole; an empty table gives no row; other columns, whatever their names, are kept by ``keep``.
 """
 
 from __future__ import annotations
@@ -175,7 +176,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, id_col: str =
     told = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("label_id").isNotNull() & ~held_out(F.col("label_id")))
     told = told.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(sample)
     rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(told), "label_id")
-    got = add_features(rows.select("label", "text"))[0].drop("text").toPandas()
+    # However many rows share an id, one teaches: what comes to the driver is bounded by the sample.
+    one = rows.groupBy("label_id", "label").agg(F.min_by(F.struct("text"), F.xxhash64("text")).alias("row"))
+    got = add_features(one.select("label", F.col("row.text").alias("text")))[0].drop("text").toPandas()
     got = got.sort_values([*NAMES, "label"])  # whatever order the tasks came in
     return fit(got[NAMES].to_numpy(float), got["label"].to_numpy(int))
 

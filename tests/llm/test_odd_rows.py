@@ -1,0 +1,65 @@
+"""Odd rows: nulls, repeated rows, empty and very long texts, names that clash, empty tables."""
+
+import os
+
+import pytest
+
+from colonnade.llm import outliers, rules
+
+SF = "/root/testdata/sf0.001"
+LONG = "a word of prose, " * 40_000
+
+
+def test_rows_that_share_a_labelled_id_teach_once(spark):
+    docs = spark.createDataFrame([(1, "same text here")] * 500 + [(k, f"text {k} of its own") for k in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(2, 0)] * 3, "doc_id long, quality int")
+    model = rules.train(docs, labels, sample=40)
+    got = rules.score(docs, model).collect()
+    assert len(got) == 558 and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+    seen = []
+    rules_fit = rules.fit
+    try:
+        rules.fit = lambda x, y: seen.append(len(y)) or rules_fit(x, y)
+        rules.train(docs, labels, sample=40)
+    finally:
+        rules.fit = rules_fit
+    assert seen[0] <= 40
+
+
+def test_very_long_text_scores(spark):
+    model = rules.RuleEnsemble(0.0, [(1.0, ((0, True, 3.0),))])
+    docs = spark.createDataFrame([(1, LONG), (1, LONG), (None, None)], "doc_id long, text string")
+    assert sorted(round(r["score"], 3) for r in rules.score(docs, model).collect()) == [0.5, 0.731, 0.731]
+
+
+def test_outliers_of_odd_rows(spark):
+    text = "plain words of a text that says little, but enough of them to count"
+    rows = [(k, f"{text} {k}", "en", "s", 1, "x") for k in range(150)] + [(1, LONG, "en", "s", 2, "y")] * 2 + [(None, text, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, g int, n_words string")
+    got = outliers.judge(docs).collect()
+    assert len(got) == 153
+    assert [r["base_failed"] for r in got if r["n_words"] == 160_000] == [True, True]
+    assert {r["kept"] for r in got if r["doc_id"] is None} == {True}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_stages_with_odd_rows(spark):
+    """Every stage keeps odd rows as its docstring says, and all but the last their columns."""
+    pytest.importorskip("tokenizers")
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    columns = docs.columns
+    odd = spark.createDataFrame([(None, None, None, None, None), (500000, None, "en", "s", 0), (500000, None, "en", "s", 0), (600000, "", "en", "s", 0), (700000, "short one", "fr", None, 9), (700000, "short one", "fr", None, 9), (800000, LONG, "en", "s", len(LONG))], docs.schema)
+    both = docs.unionByName(odd)
+    for k, (_, stage) in enumerate(p.STAGES):
+        out = stage(spark, both, SF)
+        rows = out.collect()
+        if k < len(p.STAGES) - 1:
+            assert out.columns == columns and 0 < len(rows) <= both.count()
+        if k in (2, 3):
+            assert sum(r["doc_id"] is None for r in rows) == 1 and sum(r["doc_id"] == 500000 for r in rows) == 2 and sum(r["doc_id"] == 800000 for r in rows) == 1
+        if k == 1:
+            assert sum(r["text"] == "short one" for r in rows) == 1 and sum(r["doc_id"] == 500000 for r in rows) == 2
+        if k == 4:
+            assert sum(r["doc_id"] == 500000 and r["length"] == 1 for r in rows) == 2
