@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next one's docs. All but the last return the columns of docs. The tables beside the
 documents (labels, benchmark) are read from sf_dir.
+
+Odd rows: a null text is an empty one, which the classifier scores like any other, near-dedup keeps,
+decontamination finds nothing in, pseudonyms leave null and packing takes for the end id alone. Rows that share a
+doc_id, or have none, stay rows of their own: each is scored, of those with equal shingles one stays, each is searched,
+rewritten and packed. Texts of any length are read whole; extra columns, whatever their names, pass through to the last stage; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Private data replaced within its format."""
+    """Private data replaced within its format, by the key in COLONNADE_PII_KEY or one drawn for this process."""
     return pii.pseudonymize(docs, pii_key())
 
 
