@@ -34,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StructField
 
 from .common import free_name, map_rows, materialize, ready, scratch
@@ -313,11 +313,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key, mark = free_name(docs, "own_id"), free_name(docs, "own_node")
     repeated = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(key)), "repeated")
     dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
-    plain = lambda own: docs[id_col].eqNullSafe(own[key])
+    # Only rows that may have one of these ids are joined; of the others no text is shuffled.
+    sure, docs = _split(docs, id_col, dropped.union(repeated).select(F.col(key).alias("doc_id")))
+    plain = lambda own: docs[f"`{id_col}`"].eqNullSafe(own[key])
     if repeated.isEmpty():
-        return docs.join(dropped, plain(dropped), "left_anti")
+        return sure.union(docs.join(dropped, plain(dropped), "left_anti"))
     single = docs.join(repeated, plain(repeated), "left_anti")
-    single = single.join(dropped, single[id_col].eqNullSafe(dropped[key]), "left_anti")
+    single = sure.union(single.join(dropped, single[f"`{id_col}`"].eqNullSafe(dropped[key]), "left_anti"))
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -353,11 +355,31 @@ def _may_be_among(texts: DataFrame, ids: DataFrame, words: int = FILTER_WORDS) -
     The table is broadcast and has at most ``words`` rows however many ids there are; beyond some 10 million ids it
     lets ever more other rows pass, and the join that follows is still exact.
     """
-    hashed = F.xxhash64("doc_id", F.lit(11))
-    word, bit = F.pmod(F.shiftrightunsigned(hashed, 6), F.lit(words)).alias("filter_word"), F.expr("shiftleft(1L, cast(xxhash64(doc_id, 11) & 63 as int))")
-    table = ids.select(word, bit.alias("bit")).groupBy("filter_word").agg(F.bit_or("bit").alias("filter_bits"))
-    rows = texts.select("doc_id", "text", word).join(F.broadcast(table), "filter_word")
-    return rows.where(F.col("filter_bits").bitwiseAND(bit) != 0).select("doc_id", "text")
+    rows = texts.select("doc_id", "text", _filter_word("doc_id", words)).join(F.broadcast(_filter_table(ids, words)), "filter_word")
+    return rows.where(F.col("filter_bits").bitwiseAND(_filter_bit("doc_id")) != 0).select("doc_id", "text")
+
+
+def _filter_word(id_col: str, words: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(F.xxhash64(F.col(f"`{id_col}`"), F.lit(11)), 6), F.lit(words)).alias("filter_word")
+
+
+def _filter_bit(id_col: str) -> Column:
+    return F.expr(f"shiftleft(1L, cast(xxhash64(`{id_col}`, 11) & 63 as int))")
+
+
+def _filter_table(ids: DataFrame, words: int) -> DataFrame:
+    """filter_word, filter_bits of ids' doc_id; at most ``words`` rows."""
+    return ids.select(_filter_word("doc_id", words), _filter_bit("doc_id").alias("bit")).groupBy("filter_word").agg(F.bit_or("bit").alias("filter_bits"))
+
+
+def _split(docs: DataFrame, id_col: str, ids: DataFrame, words: int = FILTER_WORDS) -> tuple[DataFrame, DataFrame]:
+    """The rows whose id is certainly not among ids, and the others, by the same filter; ids may be null."""
+    word, held, may = (free_name(docs, n) for n in ("filter_word", "filter_bits", "may_be"))
+    table = _filter_table(ids, words).toDF(word, held)
+    marked = docs.withColumn(word, _filter_word(id_col, words)).join(F.broadcast(table), word, "left")
+    marked = marked.withColumn(may, F.coalesce(F.col(held).bitwiseAND(_filter_bit(id_col)) != 0, F.lit(False)))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return marked.where(~F.col(may)).select(own), marked.where(F.col(may)).select(own)
 
 
 def _shingled(rows: DataFrame, width: int, extra: list[str] = []) -> DataFrame:

@@ -66,3 +66,15 @@ def test_only_the_results_table_is_left(spark):
     before = len(store._TABLES)
     assert minhash.near_duplicates(spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string")).count() == 2
     assert len(store._TABLES) == before + 1
+
+
+def test_deduplicate_shuffles_no_text_of_kept_rows(spark):
+    rows = [(k, f"text {k} has words of its own {k}", "x") for k in range(200)] + [(300 + k, f"text {k} has words of its own {k}", "y") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, filter_word string")
+    got = minhash.deduplicate(docs)
+    assert got.columns == docs.columns and {r["doc_id"] for r in got.collect()} == set(range(200))
+    sure, maybe = minhash._split(docs, "doc_id", spark.createDataFrame([(3,), (None,)], "doc_id long"))
+    assert {r["doc_id"] for r in maybe.collect()} >= {3} and sure.count() + maybe.count() == 205 and sure.count() > 195
+    assert maybe.where("doc_id is null").count() == 0
+    nulls = docs.unionByName(spark.createDataFrame([(None, "t", "z")], docs.schema))
+    assert minhash._split(nulls, "doc_id", spark.createDataFrame([(None,)], "doc_id long"))[1].where("doc_id is null").count() == 1
