@@ -27,7 +27,7 @@ def test_stages_in_order(spark):
     kept = spark.createDataFrame(kept.collect(), docs.schema)
     alone = p.near_dedup(spark, kept, SF)
     assert alone.columns == columns
-    want = {r[0] for r in brute_components([(r["doc_id"], r["text"]) for r in kept.collect()]) if r[3]}
+    want = {r[0] for r in brute_components([(r["doc_id"], r["text"]) for r in kept.collect()], 80) if r[3]}
     assert {r["doc_id"] for r in alone.collect()} == want
     alone = spark.createDataFrame(alone.collect(), docs.schema)
     clean = p.decontaminate(spark, alone, SF)
