@@ -20,6 +20,7 @@ an id has the empty one; very long texts are a shard of their own; an empty tabl
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterable
 from itertools import count
 
 import numpy as np
@@ -66,22 +67,27 @@ class TestBlock:
 
 
 class Shard:
-    """The suffix array of some texts' words. Word ids are those of first occurrence; 0 ends a text."""
+    """The suffix array of some texts' words. Word ids are those of first occurrence; 0 ends a text.
 
-    def __init__(self, texts: list[list[bytes]]):
+    The texts' words are taken one text at a time, and ids and places, fewer than 2^31, are of 32 bits.
+    """
+
+    def __init__(self, texts: Iterable[list[bytes]]):
         self.vocab: dict[bytes, int] = defaultdict(count(1).__next__)
-        self.sizes = np.array([len(ws) for ws in texts], np.int64)
-        self.first = np.cumsum(self.sizes + 1) - self.sizes - 1  # a text's first word
-        n = int(self.sizes.sum() + len(texts))
-        self.ids = np.zeros(n + 2 * STRIDE, np.int64)
         get = self.vocab.__getitem__
-        for ws, at in zip(texts, self.first.tolist()):
-            self.ids[at : at + len(ws)] = np.fromiter(map(get, ws), np.int64, len(ws))
+        parts = [np.fromiter(map(get, ws), np.int32, len(ws)) for ws in texts]
+        self.sizes = np.array([len(p) for p in parts], np.int64)
+        self.first = np.cumsum(self.sizes + 1) - self.sizes - 1  # a text's first word
+        n = int(self.sizes.sum() + len(parts))
+        self.ids = np.zeros(n + 2 * STRIDE, np.int32)
+        for own, at in zip(parts, self.first.tolist()):
+            self.ids[at : at + len(own)] = own
+        del parts
         self.n = n
         counts = np.bincount(self.ids[:n], minlength=len(self.vocab) + 1)
         #: Suffixes that begin with word w are starts[w] to starts[w + 1] of the array.
         self.starts = np.concatenate([[0], np.cumsum(counts)])
-        self.array = self._sorted(int(self.sizes.max(initial=0))) if n else np.empty(0, np.int64)
+        self.array = self._sorted(int(self.sizes.max(initial=0))) if n else np.empty(0, np.int32)
 
     def _sorted(self, longest: int) -> np.ndarray:
         """Prefix doubling: a rank is the first place of all suffixes that agree so far; only tied ones are sorted again."""
@@ -89,17 +95,20 @@ class Shard:
         k = 63 // bits  # as many words as fit are sorted at once
         key = np.zeros(n, np.int64)
         for j in range(k):
-            key = key << bits | self.ids[j : n + j]
-        order = np.argsort(key)
+            key <<= bits
+            key |= self.ids[j : n + j]
+        order = np.argsort(key).astype(np.int32)
         key = key[order]
         new = np.concatenate([[True], key[1:] != key[:-1]])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        del key
+        rank = np.empty(n, np.int32)
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), np.int32(0)))
         tied = order[~(new & np.concatenate([new[1:], [True]]))]
+        del order, new
         tied = tied[self.ids[tied] > 0]
         while len(tied) and k <= longest:
-            old = rank[tied]
-            after = tied + k
+            old = rank[tied].astype(np.int64)
+            after = tied.astype(np.int64) + k
             key = old * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
             order = np.argsort(key)
             tied, key, old = tied[order], key[order], old[order]
@@ -110,7 +119,7 @@ class Shard:
             alone = new_key & np.concatenate([new_key[1:], [True]])
             tied = tied[~alone]
             k *= 2
-        return np.argsort(rank, kind="stable")
+        return np.argsort(rank, kind="stable").astype(np.int32)
 
     def search(self, block: TestBlock) -> tuple[np.ndarray, ...]:
         """Of each suffix of the block: the ranges that share its window (lo, hi) and its longest match (lo, hi, length).
@@ -282,8 +291,8 @@ def _each(shared: list):
             b.__dict__.pop("_value", None)
 
 
-def _hits(texts: list[list[bytes]], shared: list) -> Hits:
-    hits = Hits(Shard(texts))
+def _hits(texts: pa.Array, shared: list) -> Hits:
+    hits = Hits(Shard(map(words, as_bytes(texts))))
     for block in _each(shared):
         hits.add(block)
     return hits
@@ -308,16 +317,16 @@ def judge(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "do
         def run(batches, shared=shared, first=first):
             for batch in batches:
                 for part in text_blocks(batch, "text", SHARD_BYTES):
-                    texts = [words(t) for t in as_bytes(part.column("text"))]
-                    hits = _hits(texts, shared)
-                    own, n = hits.spans(), range(len(texts))
+                    hits = _hits(part.column("text"), shared)
+                    own, n, sizes = hits.spans(), range(part.num_rows), hits.shard.sizes
                     spans, found, best = [own.get(i, []) for i in n], [hits.items.get(i, set()) for i in n], [hits.best.get(i) for i in n]
+                    del hits  # else it is there while the next shard is built
                     if not first:
                         spans = [merge(x + [(s["a"], s["b"]) for s in y]) for x, y in zip(spans, part.column("spans").to_pylist())]
                         found = [x.union(y) for x, y in zip(found, part.column("items").to_pylist())]
                         best = [better(x, y and tuple(y.values())) for x, y in zip(best, part.column("best").to_pylist())]
                     names = ("length", "at", "item", "item_at")
-                    state = [pa.array(map(len, texts), pa.int64()), pa.array([[{"a": a, "b": b} for a, b in x] for x in spans], _SPAN), pa.array(map(sorted, found), pa.list_(pa.string())), pa.array([m and dict(zip(names, m)) for m in best], _MATCH)]
+                    state = [pa.array(sizes, pa.int64()), pa.array([[{"a": a, "b": b} for a, b in x] for x in spans], _SPAN), pa.array(map(sorted, found), pa.list_(pa.string())), pa.array([m and dict(zip(names, m)) for m in best], _MATCH)]
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), *state], names=["doc_id", "text", "n_words", "spans", "items", "best"])
 
         rows = rows.mapInArrow(run, f"doc_id {kind}, text string, {_STATE}")
@@ -336,7 +345,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "
         def run(batches, shared=shared):
             for batch in batches:
                 for part in text_blocks(batch, "text", SHARD_BYTES):
-                    shard = Shard([words(t) for t in as_bytes(part.column("text"))])
+                    shard = Shard(map(words, as_bytes(part.column("text"))))
                     for block in _each(shared):
                         _, _, lo, hi, length = shard.search(block)
                         which, at = shard.places(lo, hi)
@@ -359,8 +368,8 @@ def remove(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str =
         def run(batches, shared=shared):
             for batch in batches:
                 for part in text_blocks(batch, at, SHARD_BYTES):
-                    hits = _hits([words(t) for t in as_bytes(part.column(at))], shared)
-                    yield part.filter(pa.array([i not in hits.items for i in range(part.num_rows)], pa.bool_()))
+                    items_of = _hits(part.column(at), shared).items  # the shard is gone before the next one is built
+                    yield part.filter(pa.array([i not in items_of for i in range(part.num_rows)], pa.bool_()))
 
         docs = map_rows(docs, run)
     return docs

@@ -37,6 +37,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import free_name
@@ -219,6 +220,7 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     text, any_, own = f"`{text_col}`", _quoted(_ANY), free_name(docs, "own_key")
     made = f"transform(regexp_extract_all({text}, {any_}, 0), v -> {_pseudonym('v', f'`{own}`')})"
     joined = f"array_join(zip_with(split({text}, {any_}, -1), {made}, (s, v) -> concat(s, coalesce(v, ''))), '')"
-    keyed = docs.withColumn(own, docs.sparkSession.createDataFrame([(derived(key),)], "own_key string").scalar())
+    one = docs.sparkSession.createDataFrame(pa.table({"own_key": [derived(key)]}))  # rows instead of Arrow would start Python workers, which stay
+    keyed = docs.withColumn(own, one.scalar())
     told = F.expr(f"if({text} rlike '[0-9@]|::|(?i:password|passwd|token|secret|api_?key|sk-|xox|gh[pousr]_)', {joined}, {text})")
     return keyed.withColumn(text_col, told).drop(own)
