@@ -1,5 +1,6 @@
 """Footers of tables that take several stripes, row groups and files: queries against their SQL, whatever the layout."""
 
+from dataclasses import replace
 from functools import partial
 
 import pytest
@@ -37,3 +38,13 @@ def test_stripes_of_whole_strides(spark, tmp_path):
     groups = footer.strides_by_key(spark, path, "id", "o_custkey", 1500)
     assert groups.count() == 20 and groups.where("n_values <> 1500").count() == 0
     assert "Scan orc" not in groups._jdf.queryExecution().toString()  # the index alone says it
+
+
+LINES = [f"cast({e} as {t}) as l_{c}" for c, t, e in (("orderkey", "long", "id"), ("partkey", "long", "hash(id)"), ("suppkey", "long", "hash(id, 1)"), ("quantity", "double", "id % 50"))]
+
+
+def test_no_gaps_at_block_borders(spark, tmp_path, monkeypatch):
+    """The 64 KB stripes may be padded up to 3 KB before a block's end; here any stripe is that would cross one."""
+    spark.range(40_000).selectExpr(*LINES).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(catalogue, "_SMALL", replace(catalogue._SMALL, more={"orc.block.size": 300_000, "orc.block.padding.tolerance": 1.0}))
+    compare(spark, "footer_stripes", tmp_path)
