@@ -48,3 +48,25 @@ def test_no_gaps_at_block_borders(spark, tmp_path, monkeypatch):
     spark.range(40_000).selectExpr(*LINES).write.parquet(f"{tmp_path}/lineitem.parquet")
     monkeypatch.setattr(catalogue, "_SMALL", replace(catalogue._SMALL, more={"orc.block.size": 300_000, "orc.block.padding.tolerance": 1.0}))
     compare(spark, "footer_stripes", tmp_path)
+
+
+@pytest.fixture(scope="module")
+def parts(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("parts")
+    ids = spark.range(0, 40_000, 1, 4)
+    ids.selectExpr(*LINES).write.parquet(f"{folder}/lineitem.parquet")
+    ids.selectExpr("id as o_orderkey", *ORDERS[:-3], "id / 4 as o_totalprice", "unix_seconds(timestamp_seconds(id)) as o_orderdate", ORDERS[-1]).write.parquet(f"{folder}/orders.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["stripe_stats", "footer_stripes", "writer_small_stripe", "footer_schema", "footer_user_metadata"])
+def test_no_task_writes_a_whole_table(spark, parts, monkeypatch, name):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    monkeypatch.setattr(catalogue, "_WRITTEN", {})
+    try:
+        compare(spark, name, parts)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (path,) = catalogue._WRITTEN.values()
+    assert footer.list_files(spark, path).count() >= 4
