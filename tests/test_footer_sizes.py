@@ -59,7 +59,7 @@ def parts(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["stripe_stats", "footer_stripes", "writer_small_stripe", "footer_schema", "footer_user_metadata"])
+@pytest.mark.parametrize("name", ["stripe_stats", "footer_stats", "footer_stripes", "writer_small_stripe", "footer_schema", "footer_user_metadata"])
 def test_no_task_writes_a_whole_table(spark, parts, monkeypatch, name):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
